@@ -1,0 +1,39 @@
+"""Connected components of a table of links, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    both = _both(e)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node of links (u, v): the least node that it reaches. No links give no rows."""
+    e = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        e = materialise(_small_star(_large_star(e)), "links")
+        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+        if (now["n"], now["h"]) == seen:
+            break
+        seen = (now["n"], now["h"])
+    members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

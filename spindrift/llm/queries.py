@@ -18,6 +18,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removed_spans
+
+    return removed_spans(_read(spark, sf_dir, "documents"))
+
+
 def op2_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -43,6 +49,18 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_documents
+
+    return link_documents(_read(spark, sf_dir, "documents"))
+
+
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_contamination
+
+    return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_reputation import judge_urls
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import interaction, network, spatial  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

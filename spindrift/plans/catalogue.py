@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interaction, network, spatial  # noqa: F401  they register their queries
+from . import interaction, network, serve, spatial  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

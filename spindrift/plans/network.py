@@ -197,20 +197,19 @@ def g3_km_to_mouth(spark, d):
 
 
 _EDGE = ", edge as (select w.chain, n.chain as next_chain, n.km as entry_km from walk w join reach r on r.id = w.id left join walk n on n.id = r.down where w.hops = 0)"
-_PATH = _EDGE + ", path as (select w.id, cast(0 as bigint) as hop, w.chain, w.km from walk w where w.id % 50 = 0 union all select p.id, p.hop + 1, e.next_chain, e.entry_km from path p join edge e on e.chain = p.chain where e.next_chain is not null)"
+_PATH = _EDGE + ", path as (select w.id, cast(0 as bigint) as hop, w.chain, w.km from walk w where not exists (select 1 from reach u where u.down = w.id) union all select p.id, p.hop + 1, e.next_chain, e.entry_km from path p join edge e on e.chain = p.chain where e.next_chain is not null)"
 
 
 @query(with_views("reach", more=_CHAIN + _PATH, recursive=True) + "select id, hop, chain, cast(km as bigint) as km from path")
 def g4_path_to_sea(spark, d):
     r = view(spark, d, "reach")
-    tops = r.where("id % 50 = 0").select("id")
-    return graph.paths_to_sea(r, graph.chain_members(r), tops).select("id", "hop", "chain", F.col("km").cast("long").alias("km"))
+    return graph.paths_to_sea(r, graph.chain_members(r), graph.headwaters(r)).select("id", "hop", "chain", F.col("km").cast("long").alias("km"))
 
 
 @query(with_views("reach", more=_CHAIN + _PATH, recursive=True) + "select max(hops) as most, cast(floor(avg(hops)*1000+0.5) as bigint) as mean_milli, count(distinct chain) as chains from (select id, count(*) as hops from path group by 1) h, (select distinct chain from path)")
 def a20_path_statistics(spark, d):
     r = view(spark, d, "reach")
-    p = graph.cut(graph.paths_to_sea(r, graph.chain_members(r), r.where("id % 50 = 0").select("id")), "paths")
+    p = graph.cut(graph.paths_to_sea(r, graph.chain_members(r), graph.headwaters(r)), "paths")
     per = p.groupBy("id").agg(F.count("*").alias("hops")).agg(F.max("hops").alias("most"), F.floor(F.avg("hops") * 1000 + 0.5).cast("long").alias("mean_milli"))
     n = p.agg(F.count_distinct("chain").alias("chains"))
     return per.select("*", F.lit(1).alias("k")).join(n.select("*", F.lit(1).alias("k")), "k").drop("k")
@@ -230,7 +229,7 @@ def g7_owner_by_fit(spark, d):
     return graph.owner_by_fit(claims)
 
 
-_GROUPS = "groups as (select id % 37 as name, id as rid, chain as mouth, hops % 5 as n_reaches, id as seq from walk where id % 11 = 0)"
+_GROUPS = "groups as (select chain % 37 as name, chain as rid, chain as mouth, count(*) as n_reaches, chain as seq from walk group by chain)"
 _FOLD = _CHAIN + ", " + _GROUPS + ", dom as (select name, rid as into_, mouth from (select *, row_number() over (partition by name order by n_reaches desc, seq) as rn, count(*) over (partition by name) as n from groups) where rn = 1 and n > 1), dc as (select d.name, d.into_, w.chain as dchain from dom d join walk w on w.id = d.mouth), fold as (select g.rid, c.into_, c.dchain, r.down as at_, 1 as hop from groups g join dc c on c.name = g.name join reach r on r.id = g.mouth where g.rid <> c.into_ union all select f.rid, f.into_, f.dchain, r.down, f.hop + 1 from fold f join walk w on w.id = f.at_ join reach r on r.id = f.at_ where w.chain <> f.dchain and f.hop < 40)"
 
 
@@ -238,7 +237,8 @@ _FOLD = _CHAIN + ", " + _GROUPS + ", dom as (select name, rid as into_, mouth fr
 def g8_fold_side_channels(spark, d):
     r = view(spark, d, "reach")
     m = graph.chain_members(r)
-    groups = m.where("id % 11 = 0").select((F.col("id") % 37).alias("name"), F.col("id").alias("rid"), F.col("chain").alias("mouth"), (F.col("hops") % 5).alias("n_reaches"), F.col("id").alias("seq"))
+    chains = m.groupBy("chain").agg(F.count("*").alias("n_reaches"))
+    groups = chains.select((F.col("chain") % 37).alias("name"), F.col("chain").alias("rid"), F.col("chain").alias("mouth"), "n_reaches", F.col("chain").alias("seq"))
     return graph.fold_side_channels(r, groups, m).select("rid", F.col("into").alias("into_rid"))
 
 
@@ -247,16 +247,14 @@ def g9_chain_from_head(spark, d):
     return graph.position_in_chain(graph.chain_members(view(spark, d, "reach"))).select("id", "chain", F.col("from_head").cast("long").alias("from_head"))
 
 
-_DOWN = "down as (select id as rid, id as cur, 0 as hop from reach where id % 101 = 0 union all select w.rid, n.id, w.hop + 1 from down w join reach c on c.id = w.cur join reach n on n.id = c.down where not (n.up > 1.6*c.up and n.stra < 4))"
+_DOWN = "down as (select id as rid, id as cur, 0 as hop from reach h where not exists (select 1 from reach u where u.down = h.id) union all select w.rid, n.id, w.hop + 1 from down w join reach c on c.id = w.cur join reach n on n.id = c.down where not (n.up > 1.6*c.up and n.stra < 4))"
 
 
 @query(with_views("reach", more=_DOWN, recursive=True) + "select rid, cur as last from (select rid, cur, row_number() over (partition by rid order by hop desc) as rn from down) where rn = 1")
 def g6_walk_down(spark, d):
     r = view(spark, d, "reach")
-    starts = r.where("id % 101 = 0").select(F.col("id").alias("rid"), "id")
-    orders = r.select(F.col("id").alias("nxt"), F.col("stra").alias("nxt_order"))
-    del orders
-    return graph.walk_down(r.withColumn("up", F.col("up")), starts, (F.col("nxt_up") > 1.6 * F.col("cur_up")) & ((1 + F.col("nxt") % 7) < 4))
+    starts = graph.headwaters(r).select(F.col("id").alias("rid"), "id")
+    return graph.walk_down(r, starts, (F.col("nxt_up") > 1.6 * F.col("cur_up")) & ((1 + F.col("nxt") % 7) < 4))
 
 
 # Sequences

@@ -160,21 +160,21 @@ def j13_near_semi(spark, d):
     return spatial.near_vertices(view(spark, d, "place"), v).select("id")
 
 
-_J14 = "v as (select id%40 as rid, x1 as x, y1 as y, up from reach where id%5 = 0), d as (select p.id as pid, v.rid, v.up, sqrt(pow((v.x-p.lon)*cos(radians(p.lat)),2)+pow(v.y-p.lat,2))*111.32e0 as km from place p join v on abs(v.y-p.lat) < 0.6 and abs(v.x-p.lon) < 0.7), b as (select pid, rid, min(km) as km, max(up) as up from d where km <= 60 group by 1, 2)"
+_J14 = "v as (select id%40 as rid, x1 as x, y1 as y, up from reach), d as (select p.id as pid, v.rid, v.up, sqrt(pow((v.x-p.lon)*cos(radians(p.lat)),2)+pow(v.y-p.lat,2))*111.32e0 as km from place p join v on abs(v.y-p.lat) < 0.6 and abs(v.x-p.lon) < 0.7), b as (select pid, rid, min(km) as km, max(up) as up from d where km <= 60 group by 1, 2)"
 
 
 @query(with_views("reach", "place", more=_J14) + f"select pid, rid, {q('km', '10e0')} as km10 from (select *, row_number() over (partition by pid order by case when km <= 10 then 0 else 1 end, case when km <= 10 then -(case when rid%4=0 then 0 else up end) else km end, rid) as rn from b) where rn = 1")
 def j14_named_river(spark, d):
     river = F.when(F.col("id") % 4 == 0, F.concat(F.lit("igarapé "), F.col("id") % 40)).otherwise(F.concat(F.lit("rio "), F.col("id") % 40))
-    v = view(spark, d, "reach").where("id % 5 = 0").select((F.col("id") % 40).alias("rid"), river.alias("river"), F.col("x1").alias("x"), F.col("y1").alias("y"), "up")
+    v = view(spark, d, "reach").select((F.col("id") % 40).alias("rid"), river.alias("river"), F.col("x1").alias("x"), F.col("y1").alias("y"), "up")
     p = view(spark, d, "place").select(F.col("id").alias("pid"), "lon", "lat")
     return spatial.named_river(p, v).select("pid", "rid", s("km", 10).alias("km10"))
 
 
-@query(with_views("reach", "place", more=f"t as (select lon, lat, {_GLOW} as s, {_RADIUS} as r, cos(radians(lat)) as c from place where id%10 = 0), u as (select *, r*ln(s/0.005e0)/111.32e0 as reach from t), g as (select a.id as pid, max(u.s*exp(-(sqrt(pow((a.x1-u.lon)*u.c,2)+pow(a.y1-u.lat,2))*111.32e0)/u.r)) as g from reach a join u on abs(a.y1-u.lat) <= u.reach and abs((a.x1-u.lon)*u.c) <= u.reach where a.id%3 = 0 group by 1)") + "select a.id as pid, cast(least(99, floor(coalesce(g.g,0)*99+0.5)) as bigint) as level from reach a left join g on g.pid = a.id where a.id%3 = 0")
+@query(with_views("reach", "place", more=f"t as (select lon, lat, {_GLOW} as s, {_RADIUS} as r, cos(radians(lat)) as c from place), u as (select *, r*ln(s/0.005e0)/111.32e0 as reach from t), g as (select a.id as pid, max(u.s*exp(-(sqrt(pow((a.x1-u.lon)*u.c,2)+pow(a.y1-u.lat,2))*111.32e0)/u.r)) as g from reach a join u on abs(a.y1-u.lat) <= u.reach and abs((a.x1-u.lon)*u.c) <= u.reach group by 1)") + "select a.id as pid, cast(least(99, floor(coalesce(g.g,0)*99+0.5)) as bigint) as level from reach a left join g on g.pid = a.id")
 def j15_remoteness(spark, d):
-    points = view(spark, d, "reach").where("id % 3 = 0").select(F.col("id").alias("pid"), F.col("x1").alias("lon"), F.col("y1").alias("lat"))
-    return spatial.remoteness(points, view(spark, d, "place").where("id % 10 = 0"))
+    points = view(spark, d, "reach").select(F.col("id").alias("pid"), F.col("x1").alias("lon"), F.col("y1").alias("lat"))
+    return spatial.remoteness(points, view(spark, d, "place"))
 
 
 @query()
@@ -187,10 +187,10 @@ def j16_close_pairs(spark, d):
     return spatial.pairs_within(view(spark, d, "place").withColumn("rank", F.struct(-F.col("pop"), "id")), 3.0)
 
 
-@query(with_views("way", more="k as (select id, lower(replace(name, ' ', '')) as key, id%60 as gx, id%7 as gy from way)") + "select distinct a.id as aid, b.id as bid from k a join k b on a.id%2 = 0 and b.id%2 = 1 and abs(a.gx-b.gx) <= 1 and abs(a.gy-b.gy) <= 1 and (a.key = b.key or levenshtein(a.key, b.key) <= case when least(length(a.key), length(b.key)) >= 9 then 2 when least(length(a.key), length(b.key)) >= 5 then 1 else 0 end)")
+@query(with_views("way", more="k as (select id, lower(replace(name, ' ', '')) as key, id%60 as gx, id%7 as gy from way)") + "select distinct a.id as aid, b.id as bid from k a join k b on a.id < b.id and abs(a.gx-b.gx) <= 1 and abs(a.gy-b.gy) <= 1 and (a.key = b.key or levenshtein(a.key, b.key) <= case when least(length(a.key), length(b.key)) >= 9 then 2 when least(length(a.key), length(b.key)) >= 5 then 1 else 0 end)")
 def j17_fuzzy_names(spark, d):
     w = view(spark, d, "way").select("id", "name", (F.col("id") % 60).alias("gx"), (F.col("id") % 7).alias("gy"))
-    return names.near_same_names(w.where("id % 2 = 0"), w.where("id % 2 = 1"))
+    return names.near_same_names(w, w).where("aid < bid")
 
 
 @query(with_views("way") + "select least(start_node, end_node) as lo, greatest(start_node, end_node) as hi, count(distinct name) as owners from way group by 1, 2 having count(distinct name) >= 2")
@@ -267,17 +267,17 @@ def r4_dilate(spark, d):
     return raster.dilate(view(spark, d, "cell").where("q < 2"), 2)
 
 
-_FLOOD = "blk as (select distinct cx, cy from cell where q < 4 and cx between 0 and 63 and cy between 0 and 63), fr as (select a.range as cx, b.range as cy from range(64) a, range(64) b where not exists (select 1 from blk where blk.cx = a.range and blk.cy = b.range)), fl as (select cx, cy from fr where cx in (0, 63) or cy in (0, 63) union select f.cx, f.cy from fl join fr f on abs(f.cx-fl.cx)+abs(f.cy-fl.cy) = 1)"
+_FLOOD = "blk as (select distinct cx, cy from cell where q < 4), fr as (select a.range as cx, b.range as cy from range(128) a, range(128) b where not exists (select 1 from blk where blk.cx = a.range and blk.cy = b.range)), fl as (select cx, cy from fr where cx in (0, 127) or cy in (0, 127) union select f.cx, f.cy from fl join (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dy) on true join fr f on f.cx = fl.cx+o.dx and f.cy = fl.cy+o.dy)"
 
 
 @query(with_views("cell", more=_FLOOD, recursive=True) + "select cx, cy from fl")
 def r5_flood(spark, d):
-    return raster.exterior(view(spark, d, "cell").where("q < 4"), 0, 63, 0, 63)
+    return raster.exterior(view(spark, d, "cell").where("q < 4"), 0, 127, 0, 127)
 
 
 @query()
 def r5_interior(spark, d):
-    return raster.interior(view(spark, d, "cell").where("q < 2 and cx % 3 = 0"), 0, 127, 0, 127)
+    return raster.interior(view(spark, d, "cell").where("q < 2"), 0, 127, 0, 127)
 
 
 @query(with_views("cell") + "select (cy*128+cx)//2 as byte_no, cast(bit_and(case when cx%2 = 0 then q*16+15 else 240+q end) as int) as byte from cell group by 1")
@@ -290,12 +290,12 @@ def r6_unpack4(spark, d):
     return raster.unpack_nibbles(raster.pack_nibbles(view(spark, d, "cell"), 0, 0, 128), 0, 0, 128)
 
 
-_R1 = "sg as (select (x1+80)*20 as x1, (y1+20)*20 as y1, (x2+80)*20 as x2, (y2+20)*20 as y2, greatest(0.75e0, up/200000) as rr from reach where id%4 = 0), g as (select s.*, a.range as cx, b.range as cy from sg s join range(-10, 80) a on a.range between floor(least(x1,x2)-rr) and floor(greatest(x1,x2)+rr) join range(-10, 70) b on b.range between floor(least(y1,y2)-rr) and floor(greatest(y1,y2)+rr)), h as (select *, cx+0.5e0 as px, cy+0.5e0 as py, x2-x1 as dx, y2-y1 as dy from g), k as (select *, case when dx*dx+dy*dy > 0 then greatest(0e0, least(1e0, ((px-x1)*dx+(py-y1)*dy)/(dx*dx+dy*dy))) else 0e0 end as t from h), l as (select *, (x1+t*dx-px)*(x1+t*dx-px)+(y1+t*dy-py)*(y1+t*dy-py) as d2 from k)"
+_R1 = "sg as (select (x1+80)*20 as x1, (y1+20)*20 as y1, (x2+80)*20 as x2, (y2+20)*20 as y2, greatest(0.75e0, up/200000) as rr from reach), g as (select s.*, a.range as cx, b.range as cy from sg s join range(-10, 80) a on a.range between floor(least(x1,x2)-rr) and floor(greatest(x1,x2)+rr) join range(-10, 70) b on b.range between floor(least(y1,y2)-rr) and floor(greatest(y1,y2)+rr)), h as (select *, cx+0.5e0 as px, cy+0.5e0 as py, x2-x1 as dx, y2-y1 as dy from g), k as (select *, case when dx*dx+dy*dy > 0 then greatest(0e0, least(1e0, ((px-x1)*dx+(py-y1)*dy)/(dx*dx+dy*dy))) else 0e0 end as t from h), l as (select *, (x1+t*dx-px)*(x1+t*dx-px)+(y1+t*dy-py)*(y1+t*dy-py) as d2 from k)"
 
 
 @query(with_views("reach", more=_R1) + "select cx, cy, cast(min(least(13, floor(sqrt(d2)/rr*14))) as int) as q from l where d2 <= rr*rr group by 1, 2")
 def r1_rasterise(spark, d):
-    r = view(spark, d, "reach").where("id % 4 = 0")
+    r = view(spark, d, "reach")
     seg = r.select(((F.col("x1") + 80) * 20).alias("x1"), ((F.col("y1") + 20) * 20).alias("y1"), ((F.col("x2") + 80) * 20).alias("x2"), ((F.col("y2") + 20) * 20).alias("y2"), (F.col("up") / 200000).alias("r"))
     return raster.rasterise(seg)
 
@@ -325,17 +325,17 @@ def g10_chain_ways(spark, d):
 
 @query()
 def g11_border_lines(spark, d):
-    e = view(spark, d, "way").select(F.lit(0).cast("long").alias("component"), F.col("start_node").cast("double").alias("ax"), F.lit(0.0).alias("ay"), F.col("end_node").cast("double").alias("bx"), F.lit(0.0).alias("by")).where("ax < 60")
+    e = view(spark, d, "way").select(F.lit(0).cast("long").alias("component"), F.col("start_node").cast("double").alias("ax"), F.lit(0.0).alias("ay"), F.col("end_node").cast("double").alias("bx"), F.lit(0.0).alias("by"))
     return topology.chain_edges(e)
 
 
 # Set operations
 
 
-@query(with_views("way", more="s as (select id, name, 0 as prio from way where id%3 = 0 union all select id, upper(name), 1 from way where id%2 = 0)") + "select id, name, prio from (select *, row_number() over (partition by id order by prio) as rn from s) where rn = 1")
+@query(with_views("way", more="s as (select id, name, 0 as prio from way where kind like 'PROMO%' union all select id, upper(name), 1 from way where kind not like 'SMALL%')") + "select id, name, prio from (select *, row_number() over (partition by id order by prio) as rn from s) where rn = 1")
 def u1_priority_union(spark, d):
-    w = view(spark, d, "way").select("id", "name", F.col("id").alias("seq"))
-    return names.priority_union(w.where("id % 3 = 0"), w.where("id % 2 = 0").withColumn("name", F.upper("name")))
+    w = view(spark, d, "way").select("id", "name", "kind", F.col("id").alias("seq"))
+    return names.priority_union(w.where("kind like 'PROMO%'").drop("kind"), w.where("kind not like 'SMALL%'").drop("kind").withColumn("name", F.upper("name")))
 
 
 @query(with_views("way") + "select name, min(id) as id from way group by 1")
@@ -364,11 +364,11 @@ def u5_absorb(spark, d):
     return view(spark, d, "claim").groupBy(into.alias("into_rid")).agg(F.count_distinct("id").alias("n"))
 
 
-@query(with_views("way", more="m as (select id as way, case when id%4 = 0 then '' when id%4 = 1 then name end as own from way), rel as (select id as seq, kind as name, unnest([id, id+1, id+7]) as way from way where id%5 = 0), f as (select way, name from (select way, name, row_number() over (partition by way order by seq) as rn from rel) where rn = 1)") + "select m.way, coalesce(nullif(m.own, ''), f.name) as name from m left join f on f.way = m.way where coalesce(nullif(m.own, ''), f.name) is not null")
+@query(with_views("way", more="m as (select id as way, case when id%4 = 0 then '' when id%4 = 1 then name end as own from way), rel as (select id as seq, kind as name, unnest([id, id+1, id+7]) as way from way where kind like 'PROMO%'), f as (select way, name from (select way, name, row_number() over (partition by way order by seq) as rn from rel) where rn = 1)") + "select m.way, coalesce(nullif(m.own, ''), f.name) as name from m left join f on f.way = m.way where coalesce(nullif(m.own, ''), f.name) is not null")
 def j7_relation_names(spark, d):
     w = view(spark, d, "way")
     members = w.select(F.col("id").alias("way"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.col("name")).alias("own"))
-    relations = w.where("id % 5 = 0").select(F.col("id").alias("seq"), F.col("kind").alias("name"), F.array("id", F.col("id") + 1, F.col("id") + 7).alias("ways"))
+    relations = w.where("kind like 'PROMO%'").select(F.col("id").alias("seq"), F.col("kind").alias("name"), F.array("id", F.col("id") + 1, F.col("id") + 7).alias("ways"))
     return names.name_members(members, relations)
 
 

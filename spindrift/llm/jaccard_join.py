@@ -338,7 +338,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     weight = members.groupBy("block").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets")).where("sets > 1")
     weight = weight.select("block", F.when(F.col("shingles") <= TASK_SHINGLES, 1).otherwise(F.ceil(2 * F.col("shingles") / TASK_SHINGLES)).cast("int").alias("chunks"))
     chosen = members.join(weight, "block").select(F.col("rep").alias("doc_id"), "a", "block", "chunks", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"))
-    sets = texts.join(chosen, "doc_id").select("doc_id", "text", "a", "block", "chunk", "chunks").mapInArrow(_sets, "doc_id long, block long, chunk int, chunks int, body binary")
+    # Texts are dealt by doc_id at every size; a broadcast here would grow with the corpus.
+    sets = texts.join(chosen.hint("merge"), "doc_id").select("doc_id", "text", "a", "block", "chunk", "chunks").mapInArrow(_sets, "doc_id long, block long, chunk int, chunks int, body binary")
     # A set of chunk c takes part in the tasks (c, other) and (other, c); one chunk alone is task (0, 0).
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("chunk")))
     tasks = sets.withColumn("other", F.explode(other)).select("doc_id", "body", "block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))

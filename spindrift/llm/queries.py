@@ -37,6 +37,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digest(spark, path)
 
 
+def op4_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import find_licences
+
+    return find_licences(_read(spark, sf_dir, "documents"))
+
+
 def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import judge_repetition
 

@@ -66,6 +66,14 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         i = min(j, n)
 
 
+def parts_of(batches, column: int | str, most: int = 4 * STEP_BYTES):
+    """The batches in parts of about `most` bytes of a text column, so that what is built for a part stays small."""
+    for batch in batches:
+        _, offsets = utf8_view(batch.column(column))
+        for i, j in steps(offsets, most):
+            yield batch.slice(i, j - i)
+
+
 def ragged_take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate values[starts[i] : starts[i] + lengths[i]] for all i."""
     total = int(lengths.sum())

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, materialise, mix64, partitions, ragged_take, utf8_view
+from .common import STEP_BYTES, materialise, mix64, partitions, parts_of, ragged_take, utf8_view
 
 LENGTH, KMER = 100, 32
 #: Slices of an anchor above which it is dealt by window content, and bytes of slices in a bucket, about.
-HOT_SLICES, BUCKET_BYTES = 20_000, 1 << 20
+HOT_SLICES, BUCKET_BYTES = 2_500, 1 << 17
 _PLACE = 22
 _WINDOWS = LENGTH - KMER + 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -134,7 +134,7 @@ def _digests(parts: int):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             data, offsets = utf8_view(batch.column(1))
             row, start, n, anchor, digest = batch_slices(data, offsets)
             if not len(row):
@@ -217,7 +217,7 @@ def _cut(buckets: int):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             data, offsets = utf8_view(batch.column("text"))
             asked = batch.column("asked")
             flat, bounds = asked.flatten(), np.diff(asked.offsets.to_numpy())
@@ -233,8 +233,11 @@ def _cut(buckets: int):
                 more = np.repeat(h, n[h])
                 step = np.arange(len(more)) - np.repeat(np.cumsum(n[h]) - n[h], n[h])
                 at_more = at[more] + step
-                ids = data[at_more[:, None] + np.arange(0, LENGTH, 3)].astype(np.uint64)
-                salt = mix64((ids * (np.arange(ids.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _M1).sum(axis=1)) % deal[more].astype(np.uint64)
+                salt = np.zeros(len(more), np.uint64)
+                for k in range(LENGTH):
+                    salt *= _M2
+                    salt += data[at_more + k]
+                salt = mix64(salt) % deal[more].astype(np.uint64)
                 key = np.concatenate([mix64(anchor[rest].view(np.uint64)), mix64(mix64(anchor[more].view(np.uint64)) + salt + np.uint64(1))])
                 doc, start, at, n = np.r_[doc[rest], doc[more]], np.r_[start[rest], start[more] + step], np.r_[at[rest], at_more], np.r_[n[rest], np.ones(len(more), np.int64)]
             else:
@@ -271,12 +274,12 @@ class RunLengthIndex:
         x[body] = text.astype(np.int16) + 1
         self.n, self.ends = n, ends
         self.left = np.repeat(ends, lengths + 1) - np.arange(n)  # bytes up to the terminator
-        array, ranks = self._sort(x)
+        array, near = self._sort(x, depth)
         self.starts = ends - lengths
         before = array - 1
         before[before < 0] = n - 1
-        bwt = x[before]
-        bwt[np.isin(array, self.starts)] = 0  # a terminator stands before each string's first byte
+        bwt = x[before]  # a terminator stands before each string's first byte
+        bwt[before == n - 1] = 0
         head = np.r_[True, bwt[1:] != bwt[:-1]]
         #: Runs: first row and byte; the row that the first row's last-to-first step leads to; places sampled at the ends.
         self.run_start = np.flatnonzero(head)
@@ -287,16 +290,23 @@ class RunLengthIndex:
         first = np.zeros(len(size), np.int64)
         first[order] = np.cumsum(size[order]) - size[order]
         self.run_step = first
+        self.run_shift = first - self.run_start
         self.sample_first, self.sample_last = array[self.run_start], array[run_end - 1]
         # Where neighbouring rows share fewer than `depth` bytes, a new matched string begins.
         self.depth = depth
-        same = self._share(array, ranks, depth)
+        same = self._share(array, *near, depth)
         self.class_start = np.flatnonzero(np.r_[True, ~same])
+        #: Rank support: the run and the matched string of every row.
+        self.run_of = (np.cumsum(head) - 1).astype(np.int32)
+        self.class_of = (np.cumsum(np.r_[True, ~same]) - 1).astype(np.int32)
         self.least = np.minimum.reduceat(np.where(self.left[array] >= depth, array, n), self.class_start)
         self.class_size = np.diff(np.r_[self.class_start, n])
 
-    def _sort(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix array by prefix doubling from eight bytes; comparisons stop at terminators, ties keep text order."""
+    def _sort(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
+        """Suffix array by prefix doubling from seven bytes; comparisons stop at terminators, ties keep text order.
+
+        Also gives the ranks at the greatest depth up to `wanted`.
+        """
         n, left = self.n, self.left
         key = np.zeros(n + 8, np.uint64)
         key[:n] = x
@@ -304,60 +314,58 @@ class RunLengthIndex:
         for j in range(7):
             packed <<= np.uint64(9)
             packed |= np.where(left >= j, key[j : n + j], 0)
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         ranked = packed[order]
         change = np.r_[True, ranked[1:] != ranked[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-        depth, ranks = 7, []
+        del packed, ranked, key
+        depth, near = 7, (7, rank)
         while True:
-            ranks.append((depth, rank))
+            if depth <= wanted:
+                near = (depth, rank)
             size = np.bincount(rank, minlength=n)
             open_ = order[size[rank[order]] > 1]
             open_ = open_[left[open_] >= depth]
             if not len(open_):
                 break
-            ahead = rank[open_ + depth]
-            sub = np.lexsort((open_, ahead, rank[open_]))
-            place = open_[sub]
-            old, new = rank[place], ahead[sub]
+            pair = rank[open_] * n + rank[open_ + depth]
+            sub = np.argsort(pair)
+            place, pair = open_[sub], pair[sub]
+            old = pair // n
             group = np.r_[True, old[1:] != old[:-1]]
-            change = group | np.r_[True, new[1:] != new[:-1]]
+            change = np.r_[True, pair[1:] != pair[:-1]]
             index = np.arange(len(place))
             begin = np.maximum.accumulate(np.where(group, index, 0))
             head = np.maximum.accumulate(np.where(change, index, 0))
             rank = rank.copy()
             rank[place] = old + head - begin
             depth *= 2
-        order = np.lexsort((np.arange(n), rank))
-        return order, ranks
+        order = np.argsort(rank * n + np.arange(n))
+        return order, near
 
-    def _share(self, array: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
+    def _share(self, array: np.ndarray, least: int, rank: np.ndarray, depth: int) -> np.ndarray:
         """Whether neighbouring rows share their first `depth` bytes."""
         a, b = array[:-1].copy(), array[1:].copy()
         same = (self.left[a] >= depth) & (self.left[b] >= depth)
-        least, rank = max((r for r in ranks if r[0] <= depth), key=lambda r: r[0])
         at = np.flatnonzero(same)
         x, y = a[at], b[at]
-        good = (rank[x] == rank[y]) & (rank[np.minimum(x + depth - least, self.n - 1)] == rank[np.minimum(y + depth - least, self.n - 1)])
-        covered = 2 * least >= depth
-        if not covered:
-            for step in range(least, depth - least, least):
-                good &= rank[np.minimum(x + step, self.n - 1)] == rank[np.minimum(y + step, self.n - 1)]
+        good = np.ones(len(x), bool)
+        for step in [*range(0, depth - least, least), depth - least]:
+            good &= rank[x + step] == rank[y + step]
         same[at] = good
         return same
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Last-to-first: the rows of the suffixes that start one byte earlier."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_step[run] + rows - self.run_start[run]
+        return rows + self.run_shift[self.run_of[rows]]
 
     def stream(self) -> np.ndarray:
         """For each byte of each string, the matched string (class of rows) of the suffix there; -1 at terminators.
 
         All strings are walked from their ends at once; a string's own terminator is the row of its number.
         """
-        out = np.full(self.n, -1, np.int64)
+        out = np.full(self.n, -1, np.int32)
         length = self.ends - self.starts
         order = np.argsort(-length, kind="stable")
         rows, place = order.copy(), self.ends[order].copy()
@@ -365,7 +373,7 @@ class RunLengthIndex:
         for t in range(1, int(longest[0]) + 1 if len(longest) else 0):
             alive = int(np.searchsorted(-longest, -t, "right"))
             rows, place = self.step(rows[:alive]), place[:alive] - 1
-            out[place] = np.searchsorted(self.class_start, rows, "right") - 1
+            out[place] = self.class_of[rows]
         return out
 
 
@@ -427,7 +435,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     asked = found.where("deal > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "deal")).alias("asked"))
     size = found.where("deal > 0").agg(F.sum((F.col("n") + LENGTH) * F.when(F.col("deal") > 1, 30).otherwise(1))).first()[0] or 0
     buckets = max(parts, -(-size // BUCKET_BYTES))
-    cut = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(buckets), "bucket int, body binary")
+    cut = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(buckets), "bucket int, body binary")
     marks = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_index, "doc_id long, start long, n long")
     return found.where("deal = 0").select("doc_id", "start", "n").unionByName(marks)
 
@@ -474,7 +482,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_marks(texts: DataFrame, windows: DataFrame) -> DataFrame:
     marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    return texts.join(marks, "doc_id", "left")
+    return texts.join(marks.hint("merge"), "doc_id", "left")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, dictionary_bytes: int =
     return out
 
 
-def _judge(dictionaries: dict[str, bytes], margin: float):
+def _judge(dictionaries: dict[str, bytes], margin: float, only_accepted: bool = False):
     langs = sorted(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,24 +68,25 @@ def _judge(dictionaries: dict[str, bytes], margin: float):
             how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(dictionaries[lang]), min_match=SHORTEST_MATCH, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=how)
             packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
+
+        def judge(text: str | None) -> tuple[str, float, bool]:
+            if text is None or not packers or not _LETTER.search(text):
+                return "und", 0.0, False
+            raw = text.encode()
+            blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+            sizes = [sum(len(p.compress(b)) for b in blocks) for p in packers]
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            second = min((s for k, s in enumerate(sizes) if k != best), default=len(raw) + 16)
+            saved = min(1.0, max(0.0, 1.0 - sizes[best] / second))
+            return langs[best], saved, saved >= margin and saved > 0
+
         for batch in batches:
-            names, scores, taken = [], [], []
-            for text in batch.column(1).to_pylist():
-                if text is None or not packers or not _LETTER.search(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    taken.append(False)
-                    continue
-                raw = text.encode()
-                blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-                sizes = [sum(len(p.compress(b)) for b in blocks) for p in packers]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                second = min((s for k, s in enumerate(sizes) if k != best), default=len(raw) + 16)
-                saved = max(0.0, 1.0 - sizes[best] / second)
-                names.append(langs[best])
-                scores.append(min(1.0, saved))
-                taken.append(saved >= margin and saved > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(taken, pa.bool_())], names=[*batch.schema.names[:1], *batch.schema.names[2:], "lang_pred", "score", "accepted"])
+            found = [judge(text) for text in batch.column("text").to_pylist()]
+            if only_accepted:
+                yield batch.filter(pa.array([f[2] for f in found], pa.bool_()))
+                continue
+            names, scores, taken = ([f[k] for f in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(taken, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
     return run
 
@@ -106,10 +107,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised, with their own columns; rejected ones go."""
     held_out = fold_of(F.col("doc_id")) == 2
     dictionaries = train(docs.where(~F.coalesce(held_out, F.lit(False))))
-    schema = "doc_id long, lang_pred string, score double, accepted boolean"
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(["doc_id " + kinds["doc_id"], "text string", *(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double", "accepted boolean"])
-    carried = docs.select("doc_id", "text", F.col("text").alias("_text"), *rest)
-    judged = carried.mapInArrow(_judge(dictionaries, MARGIN), schema.replace("text string", "_text string", 1))
-    return judged.where("accepted").select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return docs.mapInArrow(_judge(dictionaries, MARGIN, only_accepted=True), docs.schema)

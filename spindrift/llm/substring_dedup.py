@@ -452,7 +452,7 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     data, offsets = utf8_view(batch.column("text"))
-    marks = batch.column("marks").to_pylist()
+    marks = batch.column(_MARKS).to_pylist()
     for r, m in enumerate(marks):
         raw = data[offsets[r] : offsets[r + 1]]
         if m:
@@ -480,8 +480,11 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+_MARKS = "__spindrift_marks"
+
+
 def _with_marks(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(_MARKS))
     return texts.join(marks.hint("merge"), "doc_id", "left")
 
 
@@ -489,7 +492,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_marks(texts, repeated_windows(texts)).select("doc_id", "text", "marks").mapInArrow(_report, schema)
+    return _with_marks(texts, repeated_windows(texts)).select("doc_id", "text", _MARKS).mapInArrow(_report, schema)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +502,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = _kept(raw, starts, ends).decode("utf-8", "ignore")
             texts.append(left)
             keep.append(bool(left.strip()) or not len(starts))
-        rest = pa.RecordBatch.from_arrays([c for c, k in zip(batch.columns, batch.schema.names, strict=True) if k != "marks"], names=[k for k in batch.schema.names if k != "marks"])
+        rest = pa.RecordBatch.from_arrays([c for c, k in zip(batch.columns, batch.schema.names, strict=True) if k != _MARKS], names=[k for k in batch.schema.names if k != _MARKS])
         new = pa.array(texts, pa.string())
         old = rest.column("text")
         if old.null_count:
@@ -514,7 +517,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which nothing is left goes. `n_chars`, where there is such a column, counts what is left.
     """
-    joined = _with_marks(docs, repeated_windows(docs)).select(*docs.columns, "marks")
+    joined = _with_marks(docs, repeated_windows(docs)).select(*docs.columns, _MARKS)
     out = joined.mapInArrow(_rewrite, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

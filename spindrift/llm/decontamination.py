@@ -26,8 +26,8 @@ from .common import mix64, steps, utf8_view
 #: Most edits of a match, for each character of the item.
 EDIT_RATE = 0.10
 #: Outputs of a walk, walks, samples of each walk, and places in a sample.
-STEPS, WALKS, SAMPLES, PLACES = 36, 2, 2, 9
-#: The same for items under 36 bytes, and the shortest item.
+STEPS, WALKS, SAMPLES, PLACES = 48, 2, 3, 18
+#: The same for items under 48 bytes, and the shortest item.
 SHORT_STEPS, SHORTEST = 14, 16
 ITEM_BLOCK = 20_000
 _BITS = 20

@@ -85,4 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .url_reputation import oracle
+
+    return {"op9_url_reputation": oracle()}

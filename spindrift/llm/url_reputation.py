@@ -83,3 +83,33 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     found = reputations(outcomes).select("host", F.when(F.col("low") > limit, "block").otherwise("allow").alias("by_host"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     return located.join(found, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_host"), F.lit("allow")).alias("verdict"))
+
+
+def oracle(rules=RULES, limit: float = LIMIT) -> str:
+    """judge_urls over pages and labels in DuckDB's SQL; the sums that fix the priors are whole numbers on both sides."""
+    fits = "\n".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{{}}|{h}{p}'".replace("{}", v) for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])))
+    fixed = lambda e: f"sum(cast(floor(({e})*{_SCALE}e0+0.5) as bigint))"
+
+    def level(name: str, of: str, keys: str) -> str:
+        spread = "prior*(1-prior)*n"
+        return (
+            f"{name}_m as (select {fixed('(bad-n*prior)*(bad-n*prior)')} as seen, {fixed(spread)} as due, {fixed(spread + '*(n-1)')} as more from {of}), "
+            f"{name}_s as (select 1e0/least(0.999e0, greatest(0.001e0, case when more <> 0 then (seen-due)/cast(more as double) else 0e0 end)) - 1e0 as s from {name}_m), "
+            f"{name} as (select {keys}, n, bad, (bad+s*prior)/(n+s) as rate, n+s as weight from {of}, {name}_s)"
+        )
+
+    return f"""with loc as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
+coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+known as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by 1),
+h as (select host, cast(count(k.bad) as double) as n, cast(coalesce(sum(k.bad), 0) as double) as bad from loc left join known k on k.page_id = loc.page_id group by 1),
+h2 as (select *, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) as domain, regexp_extract(host, '[^.]*$', 0) as suffix from h),
+d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h2 group by 1, 2),
+x as (select suffix, sum(n) as n, sum(bad) as bad from d group by 1),
+base as (select (sum(bad)+1e0)/(sum(n)+2e0) as prior from x),
+x0 as (select x.*, base.prior from x, base), {level("x1", "x0", "suffix")},
+d0 as (select d.*, x1.rate as prior from d join x1 on x1.suffix = d.suffix), {level("d1", "d0", "domain, suffix")},
+h0 as (select h2.*, d1.rate as prior from h2 join d1 on d1.domain = h2.domain and d1.suffix = h2.suffix), {level("h1", "h0", "host")},
+v as (select host, case when rate - {SIGMAS}e0*sqrt(rate*(1-rate)/(weight+1)) > {limit}e0 then 'block' else 'allow' end as by_host from h1),
+r as (select *, case {fits} end as fit from (select loc.*, v.by_host from loc left join v on v.host = loc.host))
+select page_id, host, path, case when fit is not null then split_part(fit, '|', 2) end as rule,
+coalesce(case when fit is not null then split_part(fit, '|', 1) end, by_host, 'allow') as verdict from r"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step looks at, unless a single document is longer.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -66,12 +68,35 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         i = min(j, n)
 
 
+def release() -> None:
+    """Give freed memory back to the system; a Python worker lives on for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """The same map over batches, releasing memory when a task ends."""
+
+    @functools.wraps(run)
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return of
+
+
 def parts_of(batches, column: int | str, most: int = 4 * STEP_BYTES):
     """The batches in parts of about `most` bytes of a text column, so that what is built for a part stays small."""
     for batch in batches:
         _, offsets = utf8_view(batch.column(column))
         for i, j in steps(offsets, most):
             yield batch.slice(i, j - i)
+            release()
 
 
 def ragged_take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_space, hash_pieces, materialise, mix64, partitions, ragged_take, steps, utf8_view, words_of
+from .common import ascii_space, hash_pieces, materialise, mix64, partitions, parts_of, ragged_take, release, steps, tidy, utf8_view, words_of
 from .components import components
 
 SHINGLE = 5
@@ -101,7 +101,7 @@ def _post(parts: int):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             all_data, all_offsets = utf8_view(batch.column(1))
             values, counts = [], []
             for i, j in steps(all_offsets):
@@ -162,6 +162,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _frequencies(parts: int):
     """Documents pass; shingles that more than one set has go back to the sets, with their frequency."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -192,6 +193,7 @@ def _frequencies(parts: int):
 def _cells(parts: int):
     """For each set that may link, its rarest shared shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -211,6 +213,7 @@ def _cells(parts: int):
     return run
 
 
+@tidy
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links each set of a cell with the cell's least set."""
     bodies = [x for batch in batches for x in batch.column(1).to_pylist()]
@@ -302,9 +305,11 @@ def _link_block(t: pa.Table) -> pa.Table:
     ids = t.column("doc_id").to_pylist()
     sets = [np.frombuffer(x, "<u8") for x in t.column("body").to_pylist()]
     pairs = SignatureTree(sets).links()
+    release()
     return pa.table({"u": pa.array([ids[i] for i, _ in pairs], pa.int64()), "v": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of the chosen documents, once for every task that needs them."""
     for batch in batches:

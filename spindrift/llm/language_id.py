@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 TRAIN_DOCS, DICTIONARY_BYTES, MOST_LANGUAGES = 120, 48 << 10, 256
 #: Bytes encoded at a time, the level, and the shortest match (four bytes tell short words apart).
 BLOCK, LEVEL, SHORTEST_MATCH = 4 << 10, 3, 4
@@ -59,6 +61,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, dictionary_bytes: int =
 def _judge(dictionaries: dict[str, bytes], margin: float, only_accepted: bool = False):
     langs = sorted(dictionaries)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

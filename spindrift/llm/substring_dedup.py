@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, materialise, mix64, partitions, parts_of, ragged_take, utf8_view
+from .common import STEP_BYTES, materialise, mix64, partitions, parts_of, ragged_take, release, tidy, utf8_view
 
 LENGTH, KMER = 100, 32
 #: Slices of an anchor above which it is dealt by window content, and bytes of slices in a bucket, about.
@@ -172,6 +172,7 @@ def _unpack(body: bytes, kinds: list[str], open_) -> list[np.ndarray]:
     return out
 
 
+@tidy
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of repeated slices (deal 0), and slices for the index (deal >= 1: buckets that the anchor is dealt to)."""
     import zstandard
@@ -377,17 +378,20 @@ class RunLengthIndex:
         return out
 
 
+@tidy
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of the windows of each bucket that start earlier elsewhere in it."""
     import zstandard
 
-    open_, held = zstandard.ZstdDecompressor(), []
+    open_, held, done = zstandard.ZstdDecompressor(), [], 0
     current = None
     for batch in batches:
         for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if bucket != current and held:
                 yield from _marks(held)
-                held = []
+                held, done = [], done + 1
+                if done % 16 == 0:
+                    release()
             current = bucket
             m = int.from_bytes(body[:4], "little")
             raw = open_.decompress(body[4:])
@@ -469,6 +473,7 @@ def _kept(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(raw[s:e].tobytes() for s, e in zip(np.r_[0, ends], np.r_[starts, len(raw)], strict=True))
 
 
+@tidy
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, gone, spans, sha = [], [], [], []
@@ -495,6 +500,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return _with_marks(texts, repeated_windows(texts)).select("doc_id", "text", _MARKS).mapInArrow(_report, schema)
 
 
+@tidy
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, keep = [], []

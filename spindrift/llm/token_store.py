@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, scratch_dir, utf8_view
+from .common import mix64, partitions, parts_of, scratch_dir, utf8_view
 from .tokens import encoder
 
 #: Ids a chunk has on average, and at most.
@@ -119,7 +119,7 @@ def _encode(path: str, end_id: int | None, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, squeeze = encoder(path), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             data, offsets = utf8_view(batch.column(1))
             ids, off = tokens.encode(data, offsets)
             if end_id is not None:

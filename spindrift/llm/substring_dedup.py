@@ -200,7 +200,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = new_anchor | np.r_[True, digest[1:] != digest[:-1]]
     group = np.cumsum(new_anchor) - 1
     different = np.bincount(group, weights=first).astype(np.int64)[group]
-    deal = np.where(first, np.where(different > 1, -(-different // HOT_SLICES), -1), 0)
+    # A dealt anchor's windows go out one by one, LENGTH bytes and a terminator each: its parts follow their bytes.
+    windows = np.bincount(group, weights=first * n).astype(np.int64)[group]
+    parts = np.where(different > HOT_SLICES, np.maximum(2, -(-windows * (LENGTH + 1) // (4 * BUCKET_BYTES))), 1)
+    deal = np.where(first, np.where(different > 1, parts, -1), 0)
     use = deal >= 0
     # Several occurrences in one document, and neighbours in different slices, stay apart here; spans are united later.
     yield from _chunked([doc[use], start[use], n[use], anchor[use].view(np.int64), deal[use].astype(np.int32)], ["doc_id", "start", "n", "anchor", "deal"])

@@ -1,10 +1,12 @@
 """Benchmark decontamination by the CGK embedding (operator 8).
 
 The random walk of Chakraborty, Goldenberg and Koucky reads a string and, at every step, stays or moves on by a random bit
-of the step and the character; small edit distance becomes small Hamming distance. Item-sized windows start at every word
-of every text; the walk's first outputs are sampled at random places (bit sampling), for several walks and samples, and
-compared with those of every word of every item, so one intact stretch of an item is enough. A hit aligns the item with
+of the step and the character; small edit distance becomes small Hamming distance. Windows start at every word of every
+text, and at every code point of stretches of `SHORTEST` bytes or more without ASCII white space (scripts without spaces,
+other spaces); the walk's first outputs are sampled at random places (bit sampling), for several walks and samples, and
+compared with those of the same starts of every item, so one intact stretch of an item is enough. A hit aligns the item with
 the text, and the exact edit distance (bit-parallel, over code points, ASCII case folded) within the aligned window decides.
+Exact copies do not depend on the starts: the first bytes of every item are looked up at every byte of the texts.
 
 The benchmark is the stated small side: it is sent to the tasks in blocks of at most `ITEM_BLOCK` items, one pass for each
 block. Items under `SHORTEST` bytes are no evidence and take no part. Null or empty text holds nothing. Equal items are
@@ -13,6 +15,7 @@ all reported. Rows with equal doc_id are searched one by one. Whole texts are se
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ STEPS, WALKS, SAMPLES, PLACES = 48, 2, 3, 18
 #: The same for items under 48 bytes, and the shortest item.
 SHORT_STEPS, SHORTEST = 14, 16
 ITEM_BLOCK = 20_000
+#: Starts that are looked at together.
+BLOCK = 1 << 16
 _BITS = 20
 
 SCHEMA = "doc_id long, item_id long, start long, end long, distance int"
@@ -39,15 +44,30 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _word_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The first byte of every stretch without ASCII white space, and every code point of those that could hold an item."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = edges[edges < len(data)]
     first[edges] = inside[edges]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edges = edges[edges > 0] - 1
+    last[edges] = inside[edges]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    for i, j in zip(*((x[ends - starts >= SHORTEST]).tolist() for x in (starts, ends)), strict=True):
+        first[i:j] = (data[i:j] & 0xC0) != 0x80
     return np.flatnonzero(first)
 
 
+def _heads(data: np.ndarray) -> np.ndarray:
+    """A hash of the `SHORTEST` bytes from every byte on."""
+    n = max(0, len(data) - SHORTEST + 1)
+    low = np.ndarray(n, "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
+    return low ^ np.ndarray(n, "<u8", data, 8 if n else 0, (1,)) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Walk:
     """One random walk with its samples of the output places."""
 
@@ -101,8 +121,15 @@ def infix_distance(pattern: str, text: str, most: int) -> tuple[int, int] | None
     return (best, end) if best <= most else None
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """Which leading bits the hashes have."""
+    bitmap = np.zeros(1 << _BITS, bool)
+    bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    return bitmap
+
+
 class ItemIndex:
-    """Sketches of every word of every item."""
+    """Sketches of every start of every item."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -112,12 +139,13 @@ class ItemIndex:
         for n, own in ((STEPS, [k for k, r in enumerate(self.raw) if len(r) >= STEPS]), (SHORT_STEPS, [k for k, r in enumerate(self.raw) if SHORTEST <= len(r) < STEPS])):
             if own:
                 self.kinds.append([self._table(Walk(1000 * n + w, n), own, n) for w in range(WALKS)])
+        self.heads = self._head_table()
 
     def _table(self, walk: Walk, own: list[int], n: int):
         item, off, at, parts, pos = [], [], [], [], 0
         for k in own:
             r = self.raw[k]
-            s = _word_starts(r, np.zeros(1, np.int64))
+            s = _starts(r, np.zeros(1, np.int64))
             s = s[s + n <= len(r)]
             if not len(s):
                 s = np.zeros(1, np.int64)
@@ -131,17 +159,38 @@ class ItemIndex:
         tables = []
         for h in walk.sketches(data, at):
             order = np.argsort(h, kind="stable")
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            tables.append((h[order], item[order], off[order], bitmap))
+            # Of equal sketches of one item (a repeated pattern) the first and the last align it with either end of a text's.
+            same = (np.diff(h[order]) == 0) & (np.diff(item[order]) == 0)
+            order = order[~(np.r_[False, same] & np.r_[same, False])]
+            tables.append((h[order], item[order].astype(np.int32), off[order].astype(np.int32), _bitmap(h)))
         return walk, tables
 
-    def hits(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _head_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.array([k for k, r in enumerate(self.raw) if len(r) >= SHORTEST], np.int64)
+        h = np.concatenate([_heads(self.raw[k][:SHORTEST]) for k in own]) if len(own) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        return h[order], own[order], _bitmap(h)
+
+    def copies(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, item) of exact copies, at any byte; one may run over the end of a text."""
+        keys, item, bitmap = self.heads
+        for i in range(0, len(data), BLOCK):
+            h = _heads(data[i : i + BLOCK + SHORTEST - 1])
+            maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - _BITS)).view(np.int64)])
+            low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+            for at, a, b in zip((maybe + i)[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                for k in item[a:b].tolist():
+                    r = self.raw[k]
+                    if np.array_equal(data[at : at + len(r)], r):
+                        yield at, k
+
+    def hits(self, data: np.ndarray, all_starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(start, item, offset in the item) of equal sketches."""
-        for kind in self.kinds:
-            for walk, tables in kind:
+        for i in range(0, len(all_starts), BLOCK):
+            starts = all_starts[i : i + BLOCK]
+            for walk, tables in itertools.chain(*self.kinds):
                 for h, (keys, item, off, bitmap) in zip(walk.sketches(data, starts), tables, strict=True):
-                    maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+                    maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - _BITS)).view(np.int64)])
                     if not len(maybe):
                         continue
                     low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
@@ -155,7 +204,7 @@ class ItemIndex:
 def find(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, distance) of the best match of every item in every text; places in code points."""
     folded = _FOLD[data]
-    starts = _word_starts(folded, offsets)
+    starts = _starts(folded, offsets)
     padded = np.concatenate([folded, np.zeros(STEPS + 2, np.uint8)])
     found: dict[tuple[int, int], set[int]] = defaultdict(set)
     for at, item, off in index.hits(padded, starts):
@@ -163,6 +212,10 @@ def find(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
         pairs = np.unique(np.stack([row, item, (at - off - offsets[row]) // 8]), axis=1)
         for r, k, a in pairs.T.tolist():
             found[r, k].add(a)
+    for at, k in index.copies(folded):
+        r = int(np.searchsorted(offsets, at, "right")) - 1
+        if at + len(index.raw[k]) <= offsets[r + 1]:
+            found[r, k].add((at - int(offsets[r])) // 8)
     out = []
     for (r, k), places in sorted(found.items()):
         body = folded[offsets[r] : offsets[r + 1]]

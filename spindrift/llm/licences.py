@@ -1,9 +1,9 @@
 """Licence scan by sentences and ordered rules (operator 4).
 
-Texts are cut into sentences at line ends and full stops, sentences are normalised (case, punctuation and spaces), and each
-known one has an identifier. A document's identifiers, in order, are matched against rules: a rule names identifiers that
-must follow each other with at most `gap` other sentences between two. Of rules that start at one sentence the longest wins,
-and its sentences are used up.
+Texts are cut into sentences at line ends, full stops and the colon before a list of conditions, sentences are normalised
+(case, punctuation and spaces), and each known one has an identifier; of known ones that begin alike the longest counts. A
+document's identifiers, in order, are matched against rules: a rule names identifiers that must follow each other with at
+most `gap` other sentences between two. Of rules that start at one sentence the longest wins, and its sentences are used up.
 
 Null or empty text holds nothing. Rows with equal doc_id are scanned one by one. Extra columns are ignored. Nothing leaves its
 task; the known sentences and rules are constants of bounded size.
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 # Sentences of public licences and of notices that name them, by identifier.
 SENTENCES = {
     "mit-name": ("Released under the MIT License", "The MIT License (MIT)", "MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "SPDX-License-Identifier: MIT"),
-    "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',),
+    "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     "mit-notice": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",),
-    "as-is": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',),
+    "as-is": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT', 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'),
     "apache-name": ("Licensed under the Apache License, Version 2.0", "Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', "SPDX-License-Identifier: Apache-2.0"),
     "apache-compliance": ("you may not use this file except in compliance with the License",),
     "apache-copy": ("You may obtain a copy of the License at",),
@@ -63,7 +63,7 @@ RULES = (
 #: Other sentences that may stand between two of a rule.
 GAP = 3
 #: Words of the longest known sentence that a hard-wrapped text is joined over.
-_CUT = re.compile(r"[\n\r]+|(?<=[^\d\s])\.(?=\s|$)|(?<=\d)\.(?=\s|$)|;")
+_CUT = re.compile(r"[\n\r]+|(?<=[^\d\s])\.(?=\s|$)|(?<=\d)\.(?=\s|$)|;|(?<=conditions):|(?<=conditions are met):", re.I)
 _DROP = re.compile(r"[^a-z0-9]+")
 
 SCHEMA = "doc_id long, licence string, kind string, rule_sentences int, first_sentence int, last_sentence int, start long, end long"
@@ -80,7 +80,8 @@ def _known(sentences: dict[str, tuple[str, ...]]) -> tuple[dict[str, str], int,
             # A known sentence may itself hold a cut (a semicolon); its first part stands for it.
             first = next(p for p in _CUT.split(form) if normalise(p))
             known[normalise(first)] = name
-    return known, max(len(k.split()) for k in known), {k.split()[0] for k in known}
+    words = [k.split() for k in known]
+    return known, max(map(len, words)), {" ".join(w[:n]) for w in words for n in range(1, len(w) + 1)}
 
 
 def sentences_of(text: str) -> list[tuple[str, int, int]]:
@@ -101,14 +102,13 @@ def identify(text: str, known: dict[str, str], longest: int, heads: set[str]) ->
     while i < len(parts):
         norm, start, end = parts[i]
         step, name = 1, known.get(norm)
-        if name is None and norm.split(" ", 1)[0] in heads:
-            words, j = norm, i + 1
-            while j < len(parts) and name is None and words.count(" ") < longest:
-                words = f"{words} {parts[j][0]}"
-                name = known.get(words)
-                j += 1
-            if name is not None:
-                step, end = j - i, parts[j - 1][2]
+        # What is joined goes on while it begins a known sentence; the longest one counts.
+        words, j = norm, i + 1
+        while j < len(parts) and words in heads and words.count(" ") < longest:
+            words = f"{words} {parts[j][0]}"
+            j += 1
+            if words in known:
+                step, name, end = j - i, known[words], parts[j - 1][2]
         if name is not None:
             found.append((i, name, start, end, i + step - 1))
         i += step

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -74,12 +75,18 @@ def chain_edges(reach: DataFrame, members: DataFrame) -> DataFrame:
     return down.join(into, "down", "left").select("chain", "next_chain", "entry_km")
 
 
-def paths_to_sea(reach: DataFrame, members: DataFrame, tops: DataFrame, most: int = 1000) -> DataFrame:
-    """id, hop, chain, km of every chain on the way from each top reach (id) to the sea."""
+def rounds(most: int) -> Iterator[int]:
+    """Rounds of a walk over `most` places, which the caller breaks off when nothing is left: a longer walk goes in a circle."""
+    yield from range(most + 1)
+    raise ValueError(f"a walk has not ended after {most} steps; is there a circle?")
+
+
+def paths_to_sea(reach: DataFrame, members: DataFrame, tops: DataFrame, most: int | None = None) -> DataFrame:
+    """id, hop, chain, km of every chain on the way from each top reach (id) to the sea; `most`: chains of a way, else all."""
     edges = cut(chain_edges(reach, members), "edges")
     at = cut(tops.select("id").join(members, "id").select("id", F.lit(0).cast("long").alias("hop"), "chain", "km"), "path")
     out = at
-    for _ in range(most):
+    for _ in rounds(edges.count() if most is None else most):
         at = cut(at.join(edges, "chain").where("next_chain is not null").select("id", (F.col("hop") + 1).alias("hop"), F.col("next_chain").alias("chain"), F.col("entry_km").alias("km")), "path")
         if not at.limit(1).count():
             break
@@ -127,14 +134,17 @@ def fold_side_channels(reach: DataFrame, groups: DataFrame, members: DataFrame,
     return found.distinct()
 
 
-def walk_down(reach: DataFrame, starts: DataFrame, stop, most: int = 10_000) -> DataFrame:
-    """rid, last: follow `down` from (rid, id) until `stop(frame)` holds for the step (columns cur, nxt, cur_up, nxt_up)."""
+def walk_down(reach: DataFrame, starts: DataFrame, stop, most: int | None = None) -> DataFrame:
+    """rid, last: follow `down` from (rid, id) until `stop(frame)` holds for the step (columns cur, nxt, cur_up, nxt_up).
+
+    A walk of over `most` reaches, or else of more than there are, is an error.
+    """
     nodes = reach.select("id", "down", "up")
     cur = cut(starts.select("rid", F.col("id").alias("cur")), "walk")
     done = None
     step = nodes.select(F.col("id").alias("cur"), F.col("down").alias("nxt"), F.col("up").alias("cur_up"))
     ahead = nodes.select(F.col("id").alias("nxt"), F.col("up").alias("nxt_up"))
-    for _ in range(most):
+    for _ in rounds(reach.count() if most is None else most):
         here = cur.join(step, "cur").join(ahead, "nxt", "left")
         ends = F.col("nxt_up").isNull() | F.coalesce(stop, F.lit(False))
         halted = here.where(ends).select("rid", F.col("cur").alias("last"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .attributes import third_largest
-from .graph import cut, owner_by_fit
+from .graph import cut, owner_by_fit, rounds
 
 # Pool of the anchor against the river's size, jump of area at a confluence, share of a branch.
 ANCHOR_FOLD, JUMP_FOLD, BRANCH_SHARE = 1.5, 1.6, 3.0
@@ -32,17 +32,19 @@ def _owned(reach: DataFrame, owner: DataFrame) -> DataFrame:
     return o.join(quorum.withColumnRenamed("name", "owner"), "owner", "left").select("id", "up", "down", "owner", strong.alias("strong"))
 
 
-def sections(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFrame, owner: DataFrame, stem: DataFrame, most: int = 100_000) -> DataFrame:
+def sections(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFrame, owner: DataFrame, stem: DataFrame, most: int | None = None) -> DataFrame:
     """rid, id, place: the reaches of each river from its mouth (0) to its top.
 
     reach: id, down, up; rivers: rid, name; mine: rid, id, up; sizes: rid, size_up; owner: id, owner; stem: id.
+    A walk of over `most` reaches, or else of more than there are, is an error.
     """
     nodes = cut(_owned(reach, owner), "owned")
+    most = nodes.count() if most is None else most
     own = cut(mine.select("rid", "id").distinct().withColumn("is_mine", F.lit(True)), "mine")
     cur = cut(anchors(mine, sizes).join(rivers, "rid").join(nodes.select("id", "up", "down"), "id"), "down")
     mouths = None
     ahead = nodes.select(F.col("id").alias("down"), F.col("up").alias("n_up"), F.col("down").alias("n_down"), F.col("owner").alias("n_owner"), F.col("strong").alias("n_strong"))
-    for _ in range(most):
+    for _ in rounds(most):
         here = cur.join(ahead, "down", "left").join(own.select("rid", F.col("id").alias("down"), "is_mine"), ["rid", "down"], "left")
         other = F.coalesce((F.col("n_owner") != F.col("name")) & F.col("n_strong"), F.lit(False))
         jump = F.col("is_mine").isNull() & (F.col("n_up") > JUMP_FOLD * F.col("up"))
@@ -56,7 +58,7 @@ def sections(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFr
     at = cut(mouths.join(on_stem, "id").select("rid", "name", "id", F.lit(0).cast("long").alias("place"), (F.coalesce("in_stem", F.lit(False)) & F.coalesce(F.col("m_owner") == F.col("name"), F.lit(False))).alias("keep_stem")), "up")
     out = at
     above = nodes.select(F.col("down").alias("id"), F.col("id").alias("c"), F.col("up").alias("c_up"), F.col("owner").alias("c_owner"), F.col("strong").alias("c_strong")).join(stem.select(F.col("id").alias("c")).withColumn("c_stem", F.lit(True)), "c", "left")
-    for _ in range(most):
+    for _ in rounds(most):
         step = at.join(above, "id").join(own.select("rid", F.col("id").alias("c"), "is_mine"), ["rid", "c"], "left")
         fits = F.col("is_mine").isNotNull() | F.coalesce(F.col("c_owner") == F.col("name"), F.lit(False))
         branch = F.struct("c", "c_up", "c_owner", "c_strong", "c_stem")

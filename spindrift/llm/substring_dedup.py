@@ -4,19 +4,21 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts earlier (sm
 
 1. Every window of LENGTH bytes belongs to its anchor, the place of the least hash among its KMER-byte strings (leftmost
    on ties). Neighbouring windows of one anchor are a slice. Equal windows have equal anchors, so they meet under one key.
-   Only digests of slices are shuffled. Of equal slices, all but the first occurrence are marked: they are one phrase of
-   the dictionary. Anchors with several different slices go on to the index, with their first occurrences.
+   Only digests of slices are shuffled, of equal slices of a part of a batch only the first. Of equal slices, all but the
+   first occurrence are marked: they are one phrase of the dictionary. Anchors with several different slices go on to the
+   index, with their first occurrences.
 2. The slices of a bucket of anchors, each ended by a terminator, get a run-compressed Burrows-Wheeler transform: run heads,
    run starts, a step table (last-to-first by run) and text places sampled at run ends. Every slice is streamed through it
    from its end; each step gives the row, hence the matching statistics, of the suffix at that byte. Rows between two
    places where neighbouring suffixes share fewer than LENGTH bytes are one matched string; the least start of its rows
    decides which occurrences repeat an earlier one.
-3. Marks return to the documents by doc_id; their union is removed.
+3. Marks return to the documents by their keys; their union is removed.
 
 An anchor with many slices is dealt by window content into several buckets, so that no bucket grows without bound.
-Matches never cross documents, nor terminators. Null or empty text has no bytes and no marks. Documents need distinct
-doc_id; of rows with equal doc_id, each is judged as if the others had another id (equal rows do not remove each other's
-first copy twice). Extra columns are ignored by `removed_spans` and kept by `remove_repeats`.
+Matches never cross documents, nor terminators. Null or empty text has no bytes and no marks. Every row is a document:
+rows of equal doc_id stand in the order of the table, so the first of two equal rows keeps its bytes and the second loses
+them; rows without doc_id stand before all others. Where doc_ids repeat or are null, the table is written once with a
+number for every row. Extra columns are ignored by `removed_spans` and kept by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ LENGTH, KMER = 100, 32
 HOT_SLICES, BUCKET_BYTES = 2_500, 1 << 17
 _PLACE = 22
 _WINDOWS = LENGTH - KMER + 1
+#: Slices that a task remembers to have seen often.
+_REMEMBERED = 200_000
+#: The place of a row in the order of documents: its doc_id, then its number among rows of equal doc_id (0 if there are none).
+_DOC, _ROW = "__spindrift_doc", "__spindrift_row"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -127,30 +133,68 @@ def batch_slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+class _Seen:
+    """First occurrences of slices that came more than once in a part, for the later parts of a task."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.facts = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3
+
+    def repeats(self, keys, facts) -> np.ndarray:
+        """Which slices (anchor, digest, doc, row, start) repeat a remembered one that stands earlier."""
+        at = np.searchsorted(self.keys, keys)
+        out = np.zeros(len(keys), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        inside = inside[self.keys[at[inside]] == keys[inside]]
+        (a, g, d, r, s), (a0, g0, d0, r0, s0) = (f[inside] for f in facts), (f[at[inside]] for f in self.facts)
+        later = (d0 < d) | (d0 == d) & ((r0 < r) | (r0 == r) & (s0 < s))
+        out[inside] = (a0 == a) & (g0 == g) & later
+        return out
+
+    def add(self, keys, facts) -> None:
+        if len(self.keys) + len(keys) > _REMEMBERED:
+            self.__init__()
+        keys = np.r_[self.keys, keys[:_REMEMBERED]]
+        facts = [np.r_[old, new[:_REMEMBERED]] for old, new in zip(self.facts, facts, strict=True)]
+        self.keys, first = np.unique(keys, return_index=True)
+        self.facts = [f[first] for f in facts]
+
+
 def _digests(parts: int):
-    """One compressed row for every bucket: digests of the batch's slices, by document and start."""
+    """One compressed row for every bucket: digests of the batch's slices, by document and start. Part -1 has sure repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in parts_of(batches, 1):
-            data, offsets = utf8_view(batch.column(1))
+        squeeze, seen = zstandard.ZstdCompressor(level=1), _Seen()
+
+        def packed(at, columns):
+            return len(at).to_bytes(4, "little") + squeeze.compress(b"".join(_planes(c[at] if diff is False else np.diff(c[at], prepend=0), t) for c, t, diff in columns))
+
+        for k, batch in enumerate(parts_of(batches, "text")):
+            data, offsets = utf8_view(batch.column("text"))
             row, start, n, anchor, digest = batch_slices(data, offsets)
             if not len(row):
                 continue
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            part = (mix64(anchor) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((start, doc, part))
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            doc, number = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in (_DOC, _ROW))
+            place = np.lexsort((start, number, doc))
+            doc, number, start, n, anchor, digest = (x[place] for x in (doc, number, start, n, anchor, digest))
+            key = mix64(anchor + mix64(digest))
+            order = np.argsort(key, kind="stable")
+            same = np.zeros(len(key), bool)
+            same[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+            facts = (anchor, digest, doc, number, start)
+            repeated = same | seen.repeats(key, facts)
+            often = order[:-1][same[order[1:]] & ~same[order[:-1]]]
+            seen.add(key[often], [f[often] for f in facts])
+            part = np.where(repeated, -1, (mix64(anchor) % np.uint64(parts)).astype(np.int64))
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(-1, parts + 1))
             full = np.flatnonzero(np.diff(bounds))
-            bodies = []
-            for k in full.tolist():
-                at = order[bounds[k] : bounds[k + 1]]
-                step = np.diff(doc[at], prepend=0)
-                columns = ((anchor[at], "<u8"), (digest[at], "<u8"), (step, "<i8"), (start[at], "<i8"), (n[at], "u1"))
-                bodies.append(len(at).to_bytes(4, "little") + squeeze.compress(b"".join(_planes(c, t) for c, t in columns)))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
+            columns = ((anchor, "<u8", False), (digest, "<u8", False), (doc, "<i8", True), (number, "<i8", True), (start, "<i8", False), (n, "u1", False))
+            bodies = [packed(order[bounds[z] : bounds[z + 1]], columns if z else columns[2:]) for z in full.tolist()]
+            where = np.where(full > 0, full - 1, (k * 7919 + int(doc[0])) % parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(full == 0), pa.array(bodies, pa.binary())], names=["part", "sure", "body"])
 
     return run
 
@@ -177,25 +221,29 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of repeated slices (deal 0), and slices for the index (deal >= 1: buckets that the anchor is dealt to)."""
     import zstandard
 
-    open_, rows = zstandard.ZstdDecompressor(), []
+    open_, rows, names = zstandard.ZstdDecompressor(), [], [_DOC, _ROW, "start", "n", "anchor", "deal"]
     for batch in batches:
-        for body in batch.column(0).to_pylist():
-            a, g, step, s, n = _unpack(body, ["<u8", "<u8", "<i8", "<i8", "u1"], open_)
-            rows.append((a, g, np.cumsum(step), s, n.astype(np.int64)))
+        for sure, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if sure:
+                d, r, s, n = _unpack(body, ["<i8", "<i8", "<i8", "u1"], open_)
+                yield from _chunked([np.cumsum(d), np.cumsum(r), s, n.astype(np.int64), np.zeros(len(s), np.int64), np.zeros(len(s), np.int32)], names)
+                continue
+            a, g, d, r, s, n = _unpack(body, ["<u8", "<u8", "<i8", "<i8", "<i8", "u1"], open_)
+            rows.append((a, g, np.cumsum(d), np.cumsum(r), s, n.astype(np.int64)))
     if not rows:
         return
-    anchor, digest, doc, start, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    anchor, digest, doc, number, start, n = (np.concatenate(x) for x in zip(*rows, strict=True))
     del rows
     # Anchors that come once are done.
     order = np.argsort(anchor, kind="stable")
     ranked = anchor[order]
     lone = np.r_[True, ranked[1:] != ranked[:-1]] & np.r_[ranked[1:] != ranked[:-1], True]
     keep = order[~lone]
-    anchor, digest, doc, start, n = anchor[keep], digest[keep], doc[keep], start[keep], n[keep]
+    anchor, digest, doc, number, start, n = (x[keep] for x in (anchor, digest, doc, number, start, n))
     if not len(anchor):
         return
-    order = np.lexsort((start, doc, digest, anchor))
-    anchor, digest, doc, start, n = anchor[order], digest[order], doc[order], start[order], n[order]
+    order = np.lexsort((start, number, doc, digest, anchor))
+    anchor, digest, doc, number, start, n = (x[order] for x in (anchor, digest, doc, number, start, n))
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
     first = new_anchor | np.r_[True, digest[1:] != digest[:-1]]
     group = np.cumsum(new_anchor) - 1
@@ -206,7 +254,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     deal = np.where(first, np.where(different > 1, parts, -1), 0)
     use = deal >= 0
     # Several occurrences in one document, and neighbours in different slices, stay apart here; spans are united later.
-    yield from _chunked([doc[use], start[use], n[use], anchor[use].view(np.int64), deal[use].astype(np.int32)], ["doc_id", "start", "n", "anchor", "deal"])
+    yield from _chunked([doc[use], number[use], start[use], n[use], anchor[use].view(np.int64), deal[use].astype(np.int32)], names)
 
 
 def _chunked(columns: list[np.ndarray], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -227,7 +275,7 @@ def _cut(buckets: int):
             flat, bounds = asked.flatten(), np.diff(asked.offsets.to_numpy())
             row = np.repeat(np.arange(len(batch)), bounds)
             start, n, anchor, deal = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "anchor", "deal"))
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            doc, number = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in (_DOC, _ROW))
             n, at = n.astype(np.int64), offsets[row] + start
             hot = deal > 1
             if hot.any():
@@ -243,18 +291,19 @@ def _cut(buckets: int):
                     salt += data[at_more + k]
                 salt = mix64(salt) % deal[more].astype(np.uint64)
                 key = np.concatenate([mix64(anchor[rest].view(np.uint64)), mix64(mix64(anchor[more].view(np.uint64)) + salt + np.uint64(1))])
-                doc, start, at, n = np.r_[doc[rest], doc[more]], np.r_[start[rest], start[more] + step], np.r_[at[rest], at_more], np.r_[n[rest], np.ones(len(more), np.int64)]
+                doc, number = np.r_[doc[rest], doc[more]], np.r_[number[rest], number[more]]
+                start, at, n = np.r_[start[rest], start[more] + step], np.r_[at[rest], at_more], np.r_[n[rest], np.ones(len(more), np.int64)]
             else:
                 key = mix64(anchor.view(np.uint64))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, doc, bucket))
+            order = np.lexsort((start, number, doc, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edges))
             bodies = []
             for k in full.tolist():
                 z = order[edges[k] : edges[k + 1]]
                 text = ragged_take(data, at[z], n[z] + LENGTH - 1)
-                head = b"".join(_planes(c, t) for c, t in ((doc[z], "<i8"), (start[z], "<i8"), (n[z], "u1")))
+                head = b"".join(_planes(c, t) for c, t in ((doc[z], "<i8"), (number[z], "<i8"), (start[z], "<i8"), (n[z], "u1")))
                 bodies.append(len(z).to_bytes(4, "little") + squeeze.compress(head + text.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
@@ -398,20 +447,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current = bucket
             m = int.from_bytes(body[:4], "little")
             raw = open_.decompress(body[4:])
-            doc, start = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * m, 8 * m * k).reshape(8, m).T).reshape(-1).view("<i8") for k in (0, 1))
-            n = np.frombuffer(raw, np.uint8, m, 16 * m).astype(np.int64)
-            held.append((doc, start, n, np.frombuffer(raw, np.uint8, offset=17 * m)))
+            doc, number, start = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * m, 8 * m * k).reshape(8, m).T).reshape(-1).view("<i8") for k in range(3))
+            n = np.frombuffer(raw, np.uint8, m, 24 * m).astype(np.int64)
+            held.append((doc, number, start, n, np.frombuffer(raw, np.uint8, offset=25 * m)))
     if held:
         yield from _marks(held)
 
 
 def _marks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    doc, start, n, text = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc, number, start, n, text = (np.concatenate(x) for x in zip(*held, strict=True))
     # Strings in order of document and start: the least place in the index is the earliest start.
-    order = np.lexsort((start, doc))
+    order = np.lexsort((start, number, doc))
     lengths = n + LENGTH - 1
     text = ragged_take(text, np.cumsum(lengths)[order] - lengths[order], lengths[order])
-    doc, start, n, lengths = doc[order], start[order], n[order], lengths[order]
+    doc, number, start, n, lengths = (x[order] for x in (doc, number, start, n, lengths))
     index = RunLengthIndex(text, lengths)
     matched = index.stream()
     place = ragged_take(np.arange(index.n), index.starts, n)
@@ -422,29 +471,40 @@ def _marks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     # Windows of one document may reach the index in overlapping slices; the same place is no repeat of itself.
     least = index.least[kind]
     owner = np.searchsorted(index.starts, least, "right") - 1
-    earliest_doc, earliest_at = doc[owner], start[owner] + least - index.starts[owner]
-    marked = (size > 1) & ((earliest_doc < doc[string]) | (earliest_doc == doc[string]) & (earliest_at < at))
+    same = (doc[owner] == doc[string]) & (number[owner] == number[string])
+    marked = (size > 1) & np.where(same, start[owner] + least - index.starts[owner] < at, owner < string)
     if not marked.any():
         return
     edge = marked & np.r_[True, ~marked[:-1] | (string[1:] != string[:-1])]
     begin = np.flatnonzero(edge)
     count = np.add.reduceat(marked.astype(np.int64), begin)
-    yield from _chunked([doc[string[begin]], at[begin], count], ["doc_id", "start", "n"])
+    yield from _chunked([doc[string[begin]], number[string[begin]], at[begin], count], [_DOC, _ROW, "start", "n"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with their place in the order of documents, _DOC and _ROW, which is theirs alone."""
+    doc_id = F.col("doc_id").cast("long")
+    repeated = docs.groupBy(doc_id.alias("d")).agg(F.count("*").alias("n")).where("n > 1 or d is null").limit(1).count()
+    if not repeated:
+        return docs.withColumn(_DOC, doc_id).withColumn(_ROW, F.lit(0).cast("long"))
+    number = F.monotonically_increasing_id() + F.when(doc_id.isNull(), 0).otherwise(2**62)
+    return materialise(docs.withColumn(_DOC, F.coalesce(doc_id, F.lit(-(2**63)))).withColumn(_ROW, number), "rows")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n: n windows from `start` on whose LENGTH bytes also start earlier, for documents (doc_id, text)."""
-    spark = docs.sparkSession
+def _repeated_windows(keyed: DataFrame) -> DataFrame:
+    """_DOC, _ROW, start, n: n windows from `start` on whose LENGTH bytes also start earlier."""
+    spark = keyed.sparkSession
     parts = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    packed = texts.mapInArrow(_digests(parts), "part int, body binary").repartition(parts, "part").select("body")
-    found = materialise(packed.mapInArrow(_resolve, "doc_id long, start long, n long, anchor long, deal int"), "slices")
-    asked = found.where("deal > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "deal")).alias("asked"))
+    texts = keyed.select(_DOC, _ROW, "text")
+    key = f"{_DOC} long, {_ROW} long"
+    packed = texts.mapInArrow(_digests(parts), "part int, sure boolean, body binary").repartition(parts, "part").select("sure", "body")
+    found = materialise(packed.mapInArrow(_resolve, f"{key}, start long, n long, anchor long, deal int"), "slices")
+    asked = found.where("deal > 0").groupBy(_DOC, _ROW).agg(F.collect_list(F.struct("start", "n", "anchor", "deal")).alias("asked"))
     size = found.where("deal > 0").agg(F.sum((F.col("n") + LENGTH) * F.when(F.col("deal") > 1, 30).otherwise(1))).first()[0] or 0
     buckets = max(parts, -(-size // BUCKET_BYTES))
-    cut = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut(buckets), "bucket int, body binary")
-    marks = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_index, "doc_id long, start long, n long")
-    return found.where("deal = 0").select("doc_id", "start", "n").unionByName(marks)
+    cut = texts.join(asked.hint("merge"), [_DOC, _ROW]).select(_DOC, _ROW, "text", "asked").mapInArrow(_cut(buckets), "bucket int, body binary")
+    marks = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_index, f"{key}, start long, n long")
+    return found.where("deal = 0").select(_DOC, _ROW, "start", "n").unionByName(marks)
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -491,16 +551,16 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MARKS = "__spindrift_marks"
 
 
-def _with_marks(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(_MARKS))
-    return texts.join(marks.hint("merge"), "doc_id", "left")
+def _with_marks(keyed: DataFrame) -> DataFrame:
+    marks = _repeated_windows(keyed).groupBy(_DOC, _ROW).agg(F.collect_list(F.struct("start", "n")).alias(_MARKS))
+    return keyed.join(marks.hint("merge"), [_DOC, _ROW], "left")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long"), "text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_marks(texts, repeated_windows(texts)).select("doc_id", "text", _MARKS).mapInArrow(_report, schema)
+    return _with_marks(keyed).select("doc_id", "text", _MARKS).mapInArrow(_report, schema)
 
 
 @tidy
@@ -526,7 +586,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which nothing is left goes. `n_chars`, where there is such a column, counts what is left.
     """
-    joined = _with_marks(docs, repeated_windows(docs)).select(*docs.columns, _MARKS)
+    joined = _with_marks(_keyed(docs)).select(*docs.columns, _MARKS)
     out = joined.mapInArrow(_rewrite, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

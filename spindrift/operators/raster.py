@@ -44,11 +44,11 @@ def dilate(cells: DataFrame, k: int = 2) -> DataFrame:
     return x.select("cx", "cy", F.explode(offsets).alias("d")).select("cx", (F.col("cy") + F.col("d")).alias("cy")).distinct()
 
 
-def exterior(blocked: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
-    """Cells of the frame that a 4-neighbour flood from its border reaches past the blocked cells.
+def _flood(blocked: DataFrame, x0: int, x1: int, y0: int, y1: int) -> tuple[DataFrame, DataFrame]:
+    """Vertical runs (cx, a, b) of free cells of the frame, and those that a flood from the border reaches.
 
-    Columns of free cells are cut into vertical runs first; runs of neighbouring columns that touch are joined, so the
-    number of rounds follows the number of bends, not the size of the grid.
+    Runs of neighbouring columns that touch are joined, so the number of rounds follows the number of bends, not the size of
+    the grid.
     """
     spark = blocked.sparkSession
     inside = blocked.where(F.col("cx").between(x0, x1) & F.col("cy").between(y0, y1)).select("cx", "cy").distinct()
@@ -65,21 +65,30 @@ def exterior(blocked: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFram
         reached = runs.join(near, "cx").where("a <= fb and fa <= b").select("cx", "a", "b").distinct()
         fresh = cut(reached.join(seen, ["cx", "a", "b"], "left_anti"), "fresh")
         if not fresh.limit(1).count():
-            break
+            return runs, seen
         seen = cut(seen.unionByName(fresh), "flood")
+
+
+def exterior(blocked: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
+    """Cells of the frame that a 4-neighbour flood from its border reaches past the blocked cells."""
+    _, seen = _flood(blocked, x0, x1, y0, y1)
     return seen.select("cx", F.explode(F.sequence("a", "b")).alias("cy"))
 
 
 def interior(cells: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
-    """Fine cells of the frame that no corridor holds and whose coarse parent the flood does not reach."""
+    """Fine cells of the frame that no corridor holds and whose coarse parent the flood does not reach.
+
+    Only the children of coarse cells that are blocked or enclosed are looked at, not the frame.
+    """
     coarse = dilate(coarsen(cells.where(F.col("q") < INTERIOR)), 2)
-    out = exterior(coarse, x0 // 2, x1 // 2, y0 // 2, y1 // 2)
-    spark = cells.sparkSession
-    xs = spark.range(x0, x1 + 1).select(F.col("id").alias("cx"))
-    frame = xs.withColumn("cy", F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long"))))
-    parent = frame.withColumn("px", F.floor(F.col("cx") / 2).cast("long")).withColumn("py", F.floor(F.col("cy") / 2).cast("long"))
-    free = parent.join(cells.select("cx", "cy"), ["cx", "cy"], "left_anti")
-    return free.join(out.select(F.col("cx").alias("px"), F.col("cy").alias("py")), ["px", "py"], "left_anti").select("cx", "cy")
+    box = (x0 // 2, x1 // 2, y0 // 2, y1 // 2)
+    runs, seen = _flood(coarse, *box)
+    enclosed = runs.join(seen, ["cx", "a", "b"], "left_anti").select("cx", F.explode(F.sequence("a", "b")).alias("cy"))
+    held = coarse.where(F.col("cx").between(box[0], box[1]) & F.col("cy").between(box[2], box[3]))
+    both = F.array(F.lit(0), F.lit(1))
+    fine = held.unionByName(enclosed).select((F.col("cx") * 2).alias("cx"), (F.col("cy") * 2).alias("cy"), F.explode(both).alias("i")).select((F.col("cx") + F.col("i")).alias("cx"), "cy", F.explode(both).alias("j")).select("cx", (F.col("cy") + F.col("j")).alias("cy"))
+    framed = fine.where(F.col("cx").between(x0, x1) & F.col("cy").between(y0, y1))
+    return framed.join(cells.select("cx", "cy"), ["cx", "cy"], "left_anti")
 
 
 def pack_nibbles(cells: DataFrame, x0: int, y0: int, width: int) -> DataFrame:

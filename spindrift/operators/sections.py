@@ -7,7 +7,6 @@ second pass takes ownership from the first's stretches. All rivers advance toget
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .attributes import third_largest
@@ -77,9 +76,8 @@ def sections(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFr
 
 def two_passes(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFrame, stem: DataFrame) -> DataFrame:
     """Sections after ownership is rebuilt from the first pass: rid, id, place, and the length below."""
-    seq = rivers.select("rid", F.row_number().over(W.orderBy("rid")).alias("seq"))
     fit = F.abs(F.ln("up") - F.ln("size_up"))
-    named = rivers.join(sizes, "rid").join(seq, "rid")
+    named = rivers.join(sizes, "rid").withColumn("seq", F.col("rid"))
 
     def ownership(claims: DataFrame) -> DataFrame:
         c = claims.join(named, "rid").select("id", "name", fit.alias("fit"), "seq")

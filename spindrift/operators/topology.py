@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+
+
+def by_component(edges: DataFrame) -> DataFrame:
+    """Edges (ax, ay, bx, by) with their component: edges of one meet at their ends, so each can be walked on its own."""
+    ends = lambda x, y: F.xxhash64(F.col(x) + 0.0, F.col(y) + 0.0)
+    keyed = edges.withColumn("_u", ends("ax", "ay")).withColumn("_v", ends("bx", "by"))
+    found = components(keyed.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    joined = keyed.join(found, keyed["_u"] == found["node"], "left")
+    return joined.select(F.coalesce("component", "_u").alias("component"), "ax", "ay", "bx", "by")
+
 
 def shared_edges(rings: DataFrame) -> DataFrame:
     """lo, hi of edges that two owners or more have; rings: owner, a, b (comparable end points)."""
@@ -35,8 +46,8 @@ def chain_ways(ways: DataFrame) -> DataFrame:
             if k in used:
                 continue
             used.add(k)
-            chain = [k]
-            for grow, index, side in ((lambda c: chain.append(c), by_start, 2), (lambda c: chain.insert(0, c), by_end, 1)):
+            chain = deque([k])
+            for grow, index, side in ((lambda c: chain.append(c), by_start, 2), (lambda c: chain.appendleft(c), by_end, 1)):
                 while True:
                     node = rows[chain[-1] if side == 2 else chain[0]][side]
                     nxt = next((c for c in index[node] if c not in used), None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interaction, labels, network, serve, shapes, spatial  # noqa: F401  they register their queries
+from . import files, interaction, labels, network, serve, shapes, spatial  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

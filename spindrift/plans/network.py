@@ -313,7 +313,7 @@ def w8_even_samples(spark, d):
     return sequences.evenly_spaced(view(spark, d, "path_vertex"), 4).select("path_id", "sample", "seq", s("x").alias("x"))
 
 
-@query()
+@query(with_views("path_vertex", more="k as (select path_id, seq, x, y, x as kx, y as ky, true as kept from path_vertex where seq = 1 union all select v.path_id, v.seq, v.x, v.y, case when abs(v.x-k.kx)+abs(v.y-k.ky) >= 0.5 then v.x else k.kx end, case when abs(v.x-k.kx)+abs(v.y-k.ky) >= 0.5 then v.y else k.ky end, abs(v.x-k.kx)+abs(v.y-k.ky) >= 0.5 from k join path_vertex v on v.path_id = k.path_id and v.seq = k.seq + 1)", recursive=True) + "select path_id, seq from k where kept")
 def w8_kept_after_moves(spark, d):
     return sequences.kept_after_moves(view(spark, d, "path_vertex"), 0.5).select("path_id", "seq")
 
@@ -356,7 +356,19 @@ def x5_douglas_peucker(spark, d):
     return thin.select("path_id", F.size("c").alias("n"))
 
 
-@query()
+_W5_JOINS = "(s.km < 3*40075e0/4096 or s.ord = r.ord and s.rem = r.rem)"
+_W5 = (
+    "rn as (select path_id as chain, seq as i, cast(floor(up/30000) as bigint)%4 as ord, cast(floor(up) as bigint)%100 as rem, 1e0 + cast(floor(up) as bigint)%40 as km from path_vertex), "
+    "st as (select chain, i, 0 as grp, ord, rem, km, rem*km as rem_km, km as longest from rn where i = 1 union all "
+    f"select r.chain, r.i, case when {_W5_JOINS} then s.grp else s.grp+1 end, case when {_W5_JOINS} and not r.km > s.longest then s.ord else r.ord end, "
+    f"case when {_W5_JOINS} then cast(floor((s.rem_km+r.rem*r.km)/(s.km+r.km)+0.5) as bigint) else r.rem end, case when {_W5_JOINS} then s.km+r.km else r.km end, "
+    f"case when {_W5_JOINS} then s.rem_km+r.rem*r.km else r.rem*r.km end, case when {_W5_JOINS} then greatest(s.longest, r.km) else r.km end from st s join rn r on r.chain = s.chain and r.i = s.i+1), "
+    "gr as (select * from (select *, row_number() over (partition by chain, grp order by i desc) as z, max(grp) over (partition by chain) as g from st) where z = 1), "
+    "tl as (select chain, ord, rem, km from gr where grp = g and g > 0 and km < 3*40075e0/4096)"
+)
+
+
+@query(with_views("path_vertex", more=_W5, recursive=True) + "select a.chain, a.grp, case when t.km > a.longest and a.grp = a.g-1 then t.ord else a.ord end as ord, case when t.km is not null and a.grp = a.g-1 then cast(floor((a.rem_km+t.rem*t.km)/(a.km+t.km)+0.5) as bigint) else a.rem end as rem, case when t.km is not null and a.grp = a.g-1 then a.km+t.km else a.km end as km from gr a left join tl t on t.chain = a.chain where not (t.km is not null and a.grp = a.g)")
 def w5_merge_runs(spark, d):
     v = view(spark, d, "path_vertex")
     runs = v.groupBy(F.col("path_id").alias("chain")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.floor(F.col("up") / 30000) % 4).cast("int").alias("ord"), (F.floor("up") % 100).cast("int").alias("rem"), (1 + F.floor("up") % 40).cast("double").alias("km")))), lambda r: F.struct(r["ord"].alias("ord"), r["rem"].alias("rem"), r["km"].alias("km"))).alias("runs"))

@@ -275,7 +275,10 @@ def r5_flood(spark, d):
     return raster.exterior(view(spark, d, "cell").where("q < 4"), 0, 127, 0, 127)
 
 
-@query()
+_INTERIOR = "cb as (select distinct cast(floor((cast(floor(cx/2e0) as bigint)+a.range-2)) as bigint) as cx, cast(floor(cy/2e0) as bigint)+b.range-2 as cy from cell, range(5) a, range(5) b where q < 2), fr as (select a.range as cx, b.range as cy from range(64) a, range(64) b where not exists (select 1 from cb where cb.cx = a.range and cb.cy = b.range)), fl as (select cx, cy from fr where cx in (0, 63) or cy in (0, 63) union select f.cx, f.cy from fl join (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dy) on true join fr f on f.cx = fl.cx+o.dx and f.cy = fl.cy+o.dy)"
+
+
+@query(with_views("cell", more=_INTERIOR, recursive=True) + "select a.range as cx, b.range as cy from range(128) a, range(128) b where not exists (select 1 from cell c where c.q < 2 and c.cx = a.range and c.cy = b.range) and not exists (select 1 from fl where fl.cx = a.range//2 and fl.cy = b.range//2)")
 def r5_interior(spark, d):
     return raster.interior(view(spark, d, "cell").where("q < 2"), 0, 127, 0, 127)
 
@@ -300,22 +303,22 @@ def r1_rasterise(spark, d):
     return raster.rasterise(seg)
 
 
-@query(with_views("cell", more="o as (select cx, cy from cell where q < 3), e as (select cx as ax, cy as ay, cx+1 as bx, cy as by_ from o union all select cx+1, cy, cx+1, cy+1 from o union all select cx+1, cy+1, cx, cy+1 from o union all select cx, cy+1, cx, cy from o)") + "select ax, ay, bx, by_ from e where not exists (select 1 from e f where f.ax = e.bx and f.ay = e.by_ and f.bx = e.ax and f.by_ = e.ay)")
+@query(with_views("cell", more="o as (select cx, cy from cell where q < 3), e as (select cx as ax, cy as ay, cx+1 as bx, cy as by_ from o union all select cx+1, cy, cx+1, cy+1 from o union all select cx+1, cy+1, cx, cy+1 from o union all select cx, cy+1, cx, cy from o)") + "select e.ax, e.ay, e.bx, e.by_ from e left join e f on f.ax = e.bx and f.ay = e.by_ and f.bx = e.ax and f.by_ = e.ay where f.ax is null")
 def j19_boundary_edges(spark, d):
     on = view(spark, d, "cell").where("q < 3").select("cx", "cy")
     square = F.array(*[F.struct((F.col("cx") + x).alias("x"), (F.col("cy") + y).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))])
     return raster.boundary_edges(on.select(square.alias("ring"))).withColumnRenamed("by", "by_")
 
 
-@query()
+@query(with_views("cell", more=_ON + _B + ", sh as (select cx, cy, 0 as flags from on1 union all select cx, cy, flags from br where flags > 0), pg as (select *, flags in (3, 5, 10, 12) as five, flags in (1, 2, 4, 8) as three from sh)") + "select cx, cy, case when three then 3 when five then 5 else 4 end as corners, case when three then 6*cx + 2*(case flags when 1 then 1 when 2 then 2 when 4 then 1 else 2 end) when five then 10*cx+5 else 8*cx+4 end as twice_x, case when three then 6*cy + 2*(case flags when 1 then 1 when 2 then 1 when 4 then 2 else 2 end) when five then 10*cy+5 else 8*cy+4 end as twice_y from pg")
 def r14_bridge_polygons(spark, d):
-    return raster.outline_polygons(_level1(spark, d)).select("cx", "cy", F.size("ring").alias("corners"))
+    twice = lambda axis: F.aggregate("ring", F.lit(0.0), lambda t, p: t + 2 * p[axis]).cast("long")
+    return raster.outline_polygons(_level1(spark, d)).select("cx", "cy", F.size("ring").alias("corners"), twice("x").alias("twice_x"), twice("y").alias("twice_y"))
 
 
 @query()
 def g12_rings(spark, d):
-    edges = raster.boundary_edges(raster.outline_polygons(_level1(spark, d))).withColumn("component", F.lit(0).cast("long"))
-    return topology.trace_rings(edges)
+    return topology.trace_rings(topology.by_component(raster.boundary_edges(raster.outline_polygons(_level1(spark, d)))))
 
 
 @query()
@@ -325,8 +328,8 @@ def g10_chain_ways(spark, d):
 
 @query()
 def g11_border_lines(spark, d):
-    e = view(spark, d, "way").select(F.lit(0).cast("long").alias("component"), F.col("start_node").cast("double").alias("ax"), F.lit(0.0).alias("ay"), F.col("end_node").cast("double").alias("bx"), F.lit(0.0).alias("by"))
-    return topology.chain_edges(e)
+    e = view(spark, d, "way").select(F.col("start_node").cast("double").alias("ax"), F.lit(0.0).alias("ay"), F.col("end_node").cast("double").alias("bx"), F.lit(0.0).alias("by"))
+    return topology.chain_edges(topology.by_component(e))
 
 
 # Set operations

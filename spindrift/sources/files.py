@@ -102,6 +102,22 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).mapInPandas(run, "row long, part int, c array<struct<x:double,y:double>>")
 
 
+def packed_bytes(bodies: str):
+    """at, byte of gzip bodies of packed depths, as an array; bytes of nothing but outside are left out."""
+
+    @F.pandas_udf("array<struct<at:bigint,byte:int>>")
+    def unpack(column: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out = []
+        for raw in column:
+            data = np.frombuffer(gzip.decompress(raw), np.uint8)
+            out.append([{"at": int(k), "byte": int(data[k])} for k in np.flatnonzero(data != 255)])
+        return pd.Series(out)
+
+    return unpack(bodies)
+
+
 def packed_raster(spark: SparkSession, path: str) -> DataFrame:
     """byte_no, byte of a gzip file of packed depths, bytes of nothing but outside left out."""
 

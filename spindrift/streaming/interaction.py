@@ -33,43 +33,60 @@ def latest_wins(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-def _fold(decay_rate: float, most: float):
-    def add(v: Column, e: Column) -> Column:
-        impulse = e["impulse"]
-        kept = F.when(F.signum(impulse) != F.signum(v), 0.0).otherwise(v * decay_rate)
-        return F.greatest(F.lit(-most), F.least(F.lit(most), kept + impulse))
+#: What is left of a velocity after a frame, frames a second, the greatest velocity, and the least that still moves.
+DECAY, FRAME_MS, MOST, LEAST = 0.9, 16.667, 0.25, 0.0004
+
+
+def _fold(rate: float, frame_ms: float, most: float, least: float):
+    """State (v, at) and an event (at in ms, impulse): the velocity decays by the time since the last event."""
+
+    def add(s: Column, e: Column) -> Column:
+        left = s["v"] * F.pow(F.lit(rate), (e["ms"] - s["ms"]) / frame_ms)
+        left = F.when(F.abs(left) < least, 0.0).otherwise(left)
+        kept = F.when(F.signum(e["impulse"]) != F.signum(left), 0.0).otherwise(left)
+        return F.struct(F.greatest(F.lit(-most), F.least(F.lit(most), kept + e["impulse"])).alias("v"), e["ms"].alias("ms"))
 
     return add
 
 
-def decay(events: DataFrame, decay_rate: float, most: float) -> DataFrame:
-    """Per user, the velocity left after all impulses in order: a reversal starts from rest, each step decays."""
-    impulse = F.when(F.col("event_id") % 5 == 0, -F.col("value")).otherwise(F.col("value")) / 100
-    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", impulse.alias("impulse")))).alias("es"))
-    return ordered.select("user_id", F.aggregate("es", F.lit(0.0), _fold(decay_rate, most)).alias("velocity"), F.size("es").cast("long").alias("n"))
+def decay(events: DataFrame, rate: float = DECAY, frame_ms: float = FRAME_MS, most: float = MOST, least: float = LEAST) -> DataFrame:
+    """user_id, velocity, n: the velocity after all impulses (user_id, ts, event_id, impulse) in order of time.
 
+    Between events it decays by `rate` for each frame that passes, and rests once it is under `least`; an impulse against it
+    starts from rest; it never exceeds `most`.
+    """
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
+    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(ms.alias("ms"), "event_id", F.col("impulse").cast("double").alias("impulse")))).alias("es"))
+    start = F.struct(F.lit(0.0).alias("v"), F.element_at("es", 1)["ms"].alias("ms"))
+    return ordered.select("user_id", F.aggregate("es", start, _fold(rate, frame_ms, most, least), lambda s: s["v"]).alias("velocity"), F.size("es").cast("long").alias("n"))
 
-def decay_stream(events: DataFrame, decay_rate: float = 0.9, most: float = 5.0) -> DataFrame:
-    """The same on a stream, with the velocity of each user as state; gives the velocity after every micro-batch."""
+
+def decay_stream(events: DataFrame, rate: float = DECAY, frame_ms: float = FRAME_MS, most: float = MOST, least: float = LEAST) -> DataFrame:
+    """The same on a stream, with the velocity of each user and its time as state; gives the velocity after every micro-batch."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        v, n = state.get if state.exists else (0.0, 0)
-        for f in frames:
-            for e in f.sort_values(["ts", "event_id"]).itertuples():
-                impulse = (-e.value if e.event_id % 5 == 0 else e.value) / 100
-                v = 0.0 if (impulse > 0) - (impulse < 0) != (v > 0) - (v < 0) else v * decay_rate
-                v = max(-most, min(most, v + impulse))
-                n += 1
-        state.update((v, n))
+        v, at, n = state.get if state.exists else (0.0, None, 0)
+        rows = pd.concat(list(frames))
+        rows["ms"] = rows["ts"].astype("datetime64[us]").astype("int64") / 1000.0
+        for e in rows.sort_values(["ms", "event_id"]).itertuples():
+            v *= rate ** ((e.ms - (e.ms if at is None else at)) / frame_ms)
+            if abs(v) < least or (e.impulse > 0) - (e.impulse < 0) != (v > 0) - (v < 0):
+                v = 0.0
+            v, at, n = max(-most, min(most, v + e.impulse)), e.ms, n + 1
+        state.update((v, at, n))
         yield pd.DataFrame({"user_id": [key[0]], "velocity": [v], "n": [n]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, velocity double, n long", "velocity double, n long", "update", "NoTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, velocity double, n long", "velocity double, at double, n long", "update", "NoTimeout")
+
 
+def resumed_ingest(chunks: DataFrame, done: DataFrame, size: float) -> DataFrame:
+    """Chunks (x0, y0, x1, y1) that lie in no finished chunk (the same columns, of any size up to `size` a side).
 
-def resumed_ingest(chunks: DataFrame, done: DataFrame) -> DataFrame:
-    """Chunks (x0, y0, x1, y1) that no finished chunk contains; both lie on one grid of `step` degrees."""
-    keys = ["gx", "gy"]
-    covered = done.select(F.explode(F.sequence(F.floor("x0").cast("long"), F.ceil("x1").cast("long") - 1)).alias("gx"), "y0", "y1").select("gx", F.explode(F.sequence(F.floor("y0").cast("long"), F.ceil("y1").cast("long") - 1)).alias("gy")).distinct()
-    cells = chunks.withColumn("gx", F.explode(F.sequence(F.floor("x0").cast("long"), F.ceil("x1").cast("long") - 1))).withColumn("gy", F.explode(F.sequence(F.floor("y0").cast("long"), F.ceil("y1").cast("long") - 1)))
-    open_ = cells.join(covered, keys, "left_anti")
-    return open_.select(*chunks.columns).distinct()
+    A chunk meets the finished ones that touch the grid cell of its lower corner.
+    """
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long")))
+    spread = done.select(*[F.col(c).alias(f"d{c}") for c in ("x0", "y0", "x1", "y1")]).withColumn("gx", cells("dx0", "dx1")).withColumn("gy", cells("dy0", "dy1"))
+    own = chunks.withColumn("gx", F.floor(F.col("x0") / size).cast("long")).withColumn("gy", F.floor(F.col("y0") / size).cast("long"))
+    inside = (F.col("x0") >= F.col("dx0")) & (F.col("y0") >= F.col("dy0")) & (F.col("x1") <= F.col("dx1")) & (F.col("y1") <= F.col("dy1"))
+    same = (own["gx"] == spread["gx"]) & (own["gy"] == spread["gy"])
+    return own.join(spread, same & inside, "left_anti").select(*chunks.columns)

@@ -110,13 +110,28 @@ def test_pack_round_trip(spark):
 def test_streams(spark, tmp_path):
     from spindrift.streaming import interaction
 
-    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "value").limit(300)
+    impulse = F.when(F.col("event_id") % 5 == 0, -F.col("value")).otherwise(F.col("value")) / 1000
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", impulse.alias("impulse")).limit(300)
     src.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    for name, df, mode in (("debounced", interaction.debounce_stream(stream), "append"), ("decayed", interaction.decay_stream(stream), "update")):
+    for name, df, mode in (("debounced", interaction.debounce_stream(stream), "append"), ("decayed", interaction.decay_stream(stream, frame_ms=3.6e6), "update")):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
     assert spark.table("debounced").count() > 0
-    batch = {r["user_id"]: round(r["velocity"], 9) for r in interaction.decay(src, 0.9, 5.0).collect()}
+    batch = {r["user_id"]: round(r["velocity"], 9) for r in interaction.decay(src, frame_ms=3.6e6).collect()}
     assert {r["user_id"]: round(r["velocity"], 9) for r in spark.table("decayed").collect()} == batch
+
+
+def test_decay_by_elapsed_time(spark):
+    """Velocity 0.1, half a second of frames later still moving; a reversal starts from rest; the limit holds; at last it rests."""
+    from datetime import datetime, timedelta
+
+    from spindrift.streaming import interaction
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda ms: t0 + timedelta(milliseconds=ms)
+    rows = [(1, at(0), 1, 0.1), (1, at(100), 2, 0.1), (2, at(0), 1, 0.1), (2, at(50), 2, -0.05), (3, at(0), 1, 9.0), (4, at(0), 1, 0.2), (4, at(5000), 2, 0.01)]
+    got = {r["user_id"]: r["velocity"] for r in interaction.decay(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, impulse double")).collect()}
+    assert math.isclose(got[1], 0.1 * 0.9 ** (100 / 16.667) + 0.1)
+    assert got[2] == -0.05 and got[3] == 0.25 and got[4] == 0.01

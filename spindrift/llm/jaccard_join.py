@@ -34,6 +34,8 @@ PERCENT = 80
 #: Shingles that one tree task holds, about.
 TASK_SHINGLES = 3_000_000
 LEAF, FANOUT = 8, 8
+#: Pairs of nodes that are looked at together; links that these give prune the pairs that follow.
+PAIRS = 512
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -235,7 +237,7 @@ class SignatureTree:
         self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0, i))
         most = max((len(s) for s in sets), default=1)
         bits = 8
-        while 1 << bits < 2 * most and bits < 16:
+        while 1 << bits < 16 * most and bits < 17:
             bits += 1
         n = len(sets)
         self.size = np.array([len(sets[i]) for i in self.order], np.int64)
@@ -256,50 +258,78 @@ class SignatureTree:
             fan = FANOUT
         self.joined = np.arange(n)
 
-    def _children(self, level: int, k: int) -> range:
-        fan = LEAF if level == 1 else FANOUT
-        return range(k * fan, min((k + 1) * fan, len(self.levels[level - 1][1])))
-
-    def _same(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
-        _, _, _, _, fa, la = self.levels[a[0]]
-        _, _, _, _, fb, lb = self.levels[b[0]]
-        x, y = self.joined[fa[a[1]] : la[a[1]]], self.joined[fb[b[1]] : lb[b[1]]]
-        return bool((x == x[0]).all() and (y == x[0]).all())
+    def _parent(self, k: int) -> int:
+        while self.joined[k] != k:
+            self.joined[k] = self.joined[self.joined[k]]
+            k = self.joined[k]
+        return int(k)
+
+    def _one(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest component of the sets of every node of a level."""
+        while (self.joined[self.joined] != self.joined).any():
+            self.joined = self.joined[self.joined]
+        first = self.levels[level][4]
+        return np.minimum.reduceat(self.joined, first), np.maximum.reduceat(self.joined, first)
+
+    def _possible(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of nodes may hold a link between sets that are not joined yet."""
+        maps, low, high, excess, _, _ = self.levels[level]
+        least, most = self._one(level)
+        keep = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        keep &= (least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j])
+        at = np.flatnonzero(keep & (i != j))
+        if len(at):
+            x, y = i[at], j[at]
+            bound = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(excess[x], excess[y])
+            keep[at] = (100 + percent) * bound >= percent * (low[x] + low[y])
+        return keep
+
+    def _expand(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of children of pairs of nodes, each once; pairs of a node with itself come last."""
+        fan, count = LEAF if level == 1 else FANOUT, len(self.levels[level - 1][1])
+        step = np.arange(fan)
+        p = np.repeat(i[:, None] * fan + step, fan, axis=1)
+        q = np.tile(j[:, None] * fan + step, (1, fan))
+        p, q = p.ravel(), q.ravel()
+        good = (p < count) & (q < count) & ((np.repeat(i != j, fan * fan)) | (p <= q))
+        if level == 1:
+            good &= p != q
+        p, q = p[good], q[good]
+        order = np.argsort(p == q, kind="stable")
+        return p[order], q[order]
 
     def links(self, percent: int = PERCENT) -> list[tuple[int, int]]:
         """A spanning forest of the links between sets, as pairs of their places in the list given."""
         out: list[tuple[int, int]] = []
         if len(self.sets) < 2:
             return out
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
-            maps, low, high, excess, _, _ = self.levels[level]
-            if i == j and level == 0:
-                continue
-            if 100 * high[i] < percent * low[j] or 100 * high[j] < percent * low[i]:
-                continue
-            if i != j:
-                bound = int(np.bitwise_count(maps[i] & maps[j]).sum()) + min(excess[i], excess[j])
-                if (100 + percent) * bound < percent * (low[i] + low[j]):
-                    continue
-            if self._same((level, i), (level, j)):
-                continue
-            if level == 0:
-                x, y = self.sets[self.order[i]], self.sets[self.order[j]]
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                if inter and 100 * inter >= percent * (len(x) + len(y) - inter):
-                    self.joined[self.joined == self.joined[j]] = self.joined[i]
-                    out.append((self.order[i], self.order[j]))
-                continue
-            left, right = self._children(level, i), self._children(level, j)
-            if i == j:
-                stack += [(level - 1, p, q) for p in left for q in left if p <= q]
-            else:
-                stack += [(level - 1, p, q) for p in left for q in right]
+            if len(i) > PAIRS:
+                stack.append((level, i[:-PAIRS], j[:-PAIRS]))
+                i, j = i[-PAIRS:], j[-PAIRS:]
+            keep = self._possible(level, i, j, percent)
+            i, j = i[keep], j[keep]
+            if level and len(i):
+                stack.append((level - 1, *self._expand(level, i, j)))
+            elif len(i):
+                self._compare(i.tolist(), j.tolist(), percent, out)
         return out
 
+    def _compare(self, i: list[int], j: list[int], percent: int, out: list) -> None:
+        for p, q in zip(i, j, strict=True):
+            a, b = self._parent(p), self._parent(q)
+            if a == b:
+                continue
+            x, y = self.sets[self.order[p]], self.sets[self.order[q]]
+            if len(x) > len(y):
+                x, y = y, x
+            inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+            if inter and 100 * inter >= percent * (len(x) + len(y) - inter):
+                self.joined[max(a, b)] = min(a, b)
+                out.append((self.order[p], self.order[q]))
+
 
 def _link_block(t: pa.Table) -> pa.Table:
     ids = t.column("doc_id").to_pylist()

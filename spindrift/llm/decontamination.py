@@ -8,14 +8,21 @@ compared with those of the same starts of every item, so one intact stretch of a
 the text, and the exact edit distance (bit-parallel, over code points, ASCII case folded) within the aligned window decides.
 Exact copies do not depend on the starts: the first bytes of every item are looked up at every byte of the texts.
 
-The benchmark is the stated small side: it is sent to the tasks in blocks of at most `ITEM_BLOCK` items, one pass for each
-block. Items under `SHORTEST` bytes are no evidence and take no part. Null or empty text holds nothing. Equal items are
-all reported. Rows with equal doc_id are searched one by one. Whole texts are searched, in overlapping steps if very long.
+Items under `SHORTEST` bytes are too short for a walk. They are matched by the same rule: an item with `e` edits allowed has
+one of its `e + 1` parts intact, so all its parts are looked up at every byte, and the edit distance decides. Below ten code
+points no edit is allowed and the item has to stand there. `least_chars` leaves out items that the caller holds for too short
+to be evidence; it is 1, which leaves out none but empty ones.
+
+The benchmark is the stated small side: it is broadcast in blocks of at most `ITEM_BLOCK` items and about `BLOCK_BYTES`, one
+pass for each block; a Python worker builds the index of a block once. Null or empty text holds nothing, null or empty items
+stand nowhere. Every row of the benchmark is an item of its own: equal texts, equal item_ids and null item_ids are all
+reported, one row for each row of the benchmark. Rows with equal or null doc_id are searched one by one.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +39,7 @@ EDIT_RATE = 0.10
 STEPS, WALKS, SAMPLES, PLACES = 48, 2, 3, 18
 #: The same for items under 48 bytes, and the shortest item.
 SHORT_STEPS, SHORTEST = 14, 16
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 #: Starts that are looked at together.
 BLOCK = 1 << 16
 _BITS = 20
@@ -68,6 +75,59 @@ def _heads(data: np.ndarray) -> np.ndarray:
     return low ^ np.ndarray(n, "<u8", data, 8 if n else 0, (1,)) * np.uint64(0xD6E8FEB86659FD93)
 
 
+class ShortItems:
+    """Items under SHORTEST bytes, found by parts of which one is intact."""
+
+    def __init__(self, raw: list[np.ndarray], text: list[str]):
+        seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for k, (r, t) in enumerate(zip(raw, text, strict=True)):
+            if not 0 < len(r) < SHORTEST:
+                continue
+            edges = [len(t[: len(t) * i // (allowed(t) + 1)].encode()) for i in range(allowed(t) + 2)]
+            for a, b in itertools.pairwise(edges):
+                seeds[b - a].append((int(self._keys(r[a:b], b - a)[0]), k, a))
+        self.tables = {}
+        for n, own in seeds.items():
+            own.sort()
+            keys = np.array([h for h, _, _ in own], np.uint64)
+            self.tables[n] = keys, np.array([k for _, k, _ in own], np.int64), np.array([a for _, _, a in own], np.int64), _bitmap(keys)
+        self.exact = np.array([allowed(t) == 0 for t in text], bool)
+
+    @staticmethod
+    def _keys(data: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n bytes (under 16) from every byte on."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        m = max(0, len(data) - n + 1)
+        low, high = (np.ndarray(m, "<u8", padded, at, (1,)) for at in (0, 8))
+        cut = np.uint64(8 * (8 - n % 8) % 64)
+        if n > 8:
+            high = high << cut >> cut
+            return mix64(low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xD6E8FEB86659FD93))
+        return mix64((low << cut >> cut) * np.uint64(0x9E3779B97F4A7C15))
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first byte in the row) of places that may hold an item; one place of an item that allows no edit."""
+        for n, (keys, items, off, bitmap) in self.tables.items():
+            for i in range(0, len(data), BLOCK):
+                h = self._keys(data[i : i + BLOCK + n - 1], n)
+                maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - _BITS)).view(np.int64)])
+                low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+                count = high - low
+                place = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                at, k = np.repeat(maybe + i, count), items[place]
+                row = np.searchsorted(offsets, at, "right") - 1
+                inside = at + n <= offsets[row + 1]
+                at, k, place, row = at[inside], k[inside], place[inside], row[inside]
+                first = np.where(self.exact[k], 0, at - off[place] - offsets[row])
+                if len(row):
+                    yield from np.unique(np.stack([row, k, first]), axis=1).T.tolist()
+
+
+def allowed(item: str) -> int:
+    """Edits that a match of an item may have."""
+    return int(EDIT_RATE * len(item))
+
+
 class Walk:
     """One random walk with its samples of the output places."""
 
@@ -140,6 +200,7 @@ class ItemIndex:
             if own:
                 self.kinds.append([self._table(Walk(1000 * n + w, n), own, n) for w in range(WALKS)])
         self.heads = self._head_table()
+        self.short = ShortItems(self.raw, self.text)
 
     def _table(self, walk: Walk, own: list[int], n: int):
         item, off, at, parts, pos = [], [], [], [], 0
@@ -216,6 +277,8 @@ def find(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
         r = int(np.searchsorted(offsets, at, "right")) - 1
         if at + len(index.raw[k]) <= offsets[r + 1]:
             found[r, k].add((at - int(offsets[r])) // 8)
+    for r, k, a in index.short.hits(folded, offsets):
+        found[r, k].add(a // 8)
     out = []
     for (r, k), places in sorted(found.items()):
         body = folded[offsets[r] : offsets[r + 1]]
@@ -235,7 +298,9 @@ def _verify(index: ItemIndex, k: int, body: np.ndarray, places: set[int]) -> tup
     if exact >= 0:
         start = _chars(body[:exact])
         return start, start + len(pattern), 0
-    most = int(EDIT_RATE * len(pattern))
+    most = allowed(pattern)
+    if not most:
+        return None
     room = 4 * most + 16
     best = None
     spans: list[list[int]] = []
@@ -261,9 +326,22 @@ def _verify(index: ItemIndex, k: int, body: np.ndarray, places: set[int]) -> tup
     return best
 
 
-def _search(items: list[tuple[int, str]], only_clean: bool):
+_INDEXES: dict[str, ItemIndex] = {}
+
+
+def _index_of(name: str, items) -> ItemIndex:
+    """The index of a block of items, built once in each Python worker."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = ItemIndex(items.value)
+    return _INDEXES[name]
+
+
+def _search(items, only_clean: bool):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items)
+        index = _index_of(name, items)
         for batch in batches:
             all_data, all_offsets = utf8_view(batch.column("text"))
             matches = []
@@ -285,29 +363,32 @@ def _search(items: list[tuple[int, str]], only_clean: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block = []
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+def _blocks(benchmark: DataFrame, least_chars: int) -> Iterator:
+    """Broadcast blocks of items (item_id, text)."""
+    context = benchmark.sparkSession.sparkContext
+    block, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.char_length("text") >= max(1, least_chars)).toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        if len(block) == ITEM_BLOCK:
-            yield block
-            block = []
+        size += 4 * len(r["text"])
+        if len(block) == ITEM_BLOCK or size >= BLOCK_BYTES:
+            yield context.broadcast(block)
+            block, size = [], 0
     if block:
-        yield block
+        yield context.broadcast(block)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least_chars: int = 1) -> DataFrame:
     """doc_id, item_id, start, end, distance: the best match of every item in every document that holds it."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, least_chars):
         found = texts.mapInArrow(_search(block, False), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_chars: int = 1) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, least_chars):
         docs = docs.mapInArrow(_search(block, True), docs.schema)
     return docs

@@ -17,9 +17,11 @@ STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none."""
+    """The shared folder of the cluster; one of our own only in a session of one machine that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -4,6 +4,10 @@ Outcomes (url, bad 0/1) are counted by host. Each level's bad rate is a beta-bin
 posterior of the level above (all pages, suffix, registered domain, host); the prior's strength comes from the spread of
 the level's outcomes by the method of moments. A host is blocked if the lower bound of its bad rate exceeds `limit`.
 
+A suffix is the last label of a host, or the last two where the last has two letters and the one before is a common name of
+a registry's second level (`co.uk`, `com.br`); a registered domain is the suffix and the label before it. This is a rule, not
+the list of public suffixes: registries that sell names under other labels are not told apart.
+
 A null url, or one without `://`, has an empty host and path. Outcomes of urls that are null count for the empty host.
 Several outcomes of one page count once (bad if any is). An empty table gives no rows; without outcomes nothing is blocked.
 """
@@ -13,12 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Block if the bad rate is above this with this many standard deviations to spare.
 LIMIT, SIGMAS = 0.5, 1.645
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SCALE = 1_000_000
+# Second-level labels under which registries of countries sell names.
+SECOND_LEVEL = "ac|co|com|edu|gob|go|gov|gouv|mil|ne|net|nom|or|org|sch"
+_TWO = f"(^|[.])({SECOND_LEVEL})[.][a-z][a-z]$"
 
 
 def host_of(url: Column) -> Column:
@@ -30,12 +39,12 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The suffix of a host and the label before it."""
+    return F.when(host.rlike(_TWO), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return F.when(host.rlike(_TWO), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -62,7 +71,7 @@ def _posterior(level: DataFrame) -> DataFrame:
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, rate, low: posterior bad rate and its lower bound for each host of `outcomes` (host, n, bad), n may be 0."""
-    hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+    hosts = materialise(outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")), "hosts")
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -102,7 +111,7 @@ def oracle(rules=RULES, limit: float = LIMIT) -> str:
 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 known as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by 1),
 h as (select host, cast(count(k.bad) as double) as n, cast(coalesce(sum(k.bad), 0) as double) as bad from loc left join known k on k.page_id = loc.page_id group by 1),
-h2 as (select *, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) as domain, regexp_extract(host, '[^.]*$', 0) as suffix from h),
+h2 as (select *, case when regexp_matches(host, '{_TWO}') then regexp_extract(host, '([^.]*[.])?[^.]*[.][^.]*$', 0) else regexp_extract(host, '([^.]*[.])?[^.]*$', 0) end as domain, case when regexp_matches(host, '{_TWO}') then regexp_extract(host, '[^.]*[.][^.]*$', 0) else regexp_extract(host, '[^.]*$', 0) end as suffix from h),
 d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h2 group by 1, 2),
 x as (select suffix, sum(n) as n, sum(bad) as bad from d group by 1),
 base as (select (sum(bad)+1e0)/(sum(n)+2e0) as prior from x),

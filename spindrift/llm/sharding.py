@@ -23,6 +23,8 @@ from .common import materialise
 SHARDS = 24
 #: Groups in a block, partial partitions that one task combines, and rows that share a numbering part.
 BLOCK_GROUPS, FAN, PART_ROWS = 20_000, 256, 4_000
+#: Groups of equal texts that may hold more than one part in so many of all rows.
+HOT_GROUPS = 1_000
 
 
 def differencing(partials: np.ndarray) -> np.ndarray:
@@ -133,7 +135,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             break
     shard = chain.select(F.col("block").alias("node"), F.col("block_label").alias("label"), F.col("label").alias("shard"))
     assigned = labelled.join(shard, ["node", "label"]).select("_key", "_piece", "shard")
-    placed = materialise(digest.join(assigned, ["_key", "_piece"]).select("doc_id", "size", "text_crc32", "shard"), "placed")
+    # Groups of many rows (at most HOT_GROUPS by their number) meet their shards by broadcast, so that none fills a task.
+    hot = F.broadcast(groups.where(F.col("n") > F.lit(max(PART_ROWS, rows // HOT_GROUPS))).select("_key"))
+    usual = digest.join(hot, "_key", "left_anti").join(assigned, ["_key", "_piece"])
+    many = digest.join(F.broadcast(assigned.join(hot, "_key", "left_semi")), ["_key", "_piece"])
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    placed = materialise(usual.select(*columns).unionByName(many.select(*columns)), "placed")
     return number_slots(placed, rows)
 
 

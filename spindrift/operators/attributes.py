@@ -35,11 +35,23 @@ def supported_maximum(lines: DataFrame, least_km: int = 20, share_percent: int =
     return weighted_median(lines).join(best, "rid", "left").select("rid", F.coalesce("best", "median_up").alias("size_up"))
 
 
-def own_reaches(lines: DataFrame, sizes: DataFrame, cap: float = 3.0) -> DataFrame:
-    """Lines up to `cap` times the river's size; all of its lines where none is."""
-    joined = lines.join(sizes, "rid").withColumn("_fits", F.col("up") <= cap * F.col("size_up"))
-    some = F.max(F.col("_fits").cast("int")).over(W.partitionBy("rid"))
-    return joined.withColumn("_some", some).where(F.col("_fits") | (F.col("_some") == 0)).drop("_fits", "_some")
+def own_reaches(lines: DataFrame, sizes: DataFrame, cap: float = 3.0, rivers: DataFrame | None = None, stem: DataFrame | None = None) -> DataFrame:
+    """Lines up to `cap` times the river's size, off the part of the main stem that has another name.
+
+    Where no line meets both, those of the first kind of failure alone count: off the other stem, of any size; where there is
+    none either, all of the river's lines. rivers: rid, name; stem: id, name (lines have an id then); without them nothing is
+    on a stem.
+    """
+    joined = lines.join(sizes, "rid")
+    if stem is None:
+        foreign = joined.withColumn("_foreign", F.lit(0))
+    else:
+        named = joined.join(rivers.select("rid", F.col("name").alias("_own")), "rid", "left").join(stem.select("id", F.col("name").alias("_stem")), "id", "left")
+        foreign = named.withColumn("_foreign", F.when(F.col("_stem").isNull() | F.col("_stem").eqNullSafe(F.col("_own")), 0).otherwise(1)).drop("_own", "_stem")
+    # 0: its own, 1: too large, 2: on a stretch of another name; a river keeps the least kinds that it has.
+    kind = F.when(F.col("_foreign") == 1, 2).when(F.col("up") <= cap * F.col("size_up"), 0).otherwise(1)
+    ranked = foreign.withColumn("_kind", kind).withColumn("_least", F.min("_kind").over(W.partitionBy("rid")))
+    return ranked.where(F.col("_kind") <= F.col("_least")).drop("_foreign", "_kind", "_least")
 
 
 def third_largest(owned: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attributes import third_largest
+from .attributes import own_reaches, third_largest
 from .graph import cut, owner_by_fit, rounds
 
 # Pool of the anchor against the river's size, jump of area at a confluence, share of a branch.
@@ -75,21 +75,22 @@ def sections(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFr
 
 
 def two_passes(reach: DataFrame, rivers: DataFrame, mine: DataFrame, sizes: DataFrame, stem: DataFrame) -> DataFrame:
-    """Sections after ownership is rebuilt from the first pass: rid, id, place, and the length below."""
+    """Sections after ownership is rebuilt from the first pass: rid, id, place.
+
+    stem: id, name. The main stem belongs to its names, by stretch, whatever fits better; a river's own reaches leave out
+    those that the stem gives to another name.
+    """
     fit = F.abs(F.ln("up") - F.ln("size_up"))
     named = rivers.join(sizes, "rid").withColumn("seq", F.col("rid"))
+    own = cut(own_reaches(mine, sizes, rivers=rivers, stem=stem).select("rid", "id", "up"), "own")
 
     def ownership(claims: DataFrame) -> DataFrame:
-        c = claims.join(named, "rid").select("id", "name", fit.alias("fit"), "seq")
-        first = owner_by_fit(c)
-        top = named.groupBy().agg(F.max_by("name", "size_up").alias("stem_name")).first()
-        if top is None or top["stem_name"] is None:
-            return first
-        return first.join(stem.select("id").withColumn("s", F.lit(True)), "id", "full").select("id", F.when(F.col("s"), F.lit(top["stem_name"])).otherwise(F.col("owner")).alias("owner"))
-
-    one = sections(reach, rivers, mine, sizes, ownership(mine), stem)
+        first = owner_by_fit(claims.join(named, "rid").select("id", "name", fit.alias("fit"), "seq"))
+        return first.join(stem.select("id", F.col("name").alias("stretch")), "id", "full").select("id", F.coalesce("stretch", "owner").alias("owner"))
+
+    one = sections(reach, rivers, own, sizes, ownership(own), stem)
     again = one.select("rid", "id").join(reach.select("id", "up"), "id").select("rid", "id", "up")
-    return sections(reach, rivers, mine, sizes, ownership(again), stem)
+    return sections(reach, rivers, own, sizes, ownership(again), stem)
 
 
 def section_lengths(found: DataFrame, reach: DataFrame) -> DataFrame:

@@ -84,6 +84,19 @@ def f10_own_reaches(spark, d):
     return attributes.own_reaches(lines, attributes.supported_maximum(lines)).groupBy("rid").agg(F.count("*").alias("n_own"))
 
 
+_F10 = "c as (select claim.rid, claim.id, up, up <= 3*(1000e0 + claim.rid%50*1000) as small, id%3 = 0 and id%4 <> claim.rid%4 as other from claim join reach using (id)), k as (select *, case when other then 2 when small then 0 else 1 end as kind from c), m as (select *, min(kind) over (partition by rid) as least from k)"
+
+
+@query(with_views("reach", "claim", more=_F10) + "select rid, id from m where kind <= least")
+def f10_off_the_other_stem(spark, d):
+    """A third of the reaches are a stem of four names; each river has one of these."""
+    claims = view(spark, d, "claim").join(view(spark, d, "reach").select("id", "up"), "id")
+    sizes = claims.select("rid").distinct().withColumn("size_up", 1000.0 + F.col("rid") % 50 * 1000)
+    rivers = sizes.select("rid", (F.col("rid") % 4).cast("string").alias("name"))
+    stem = view(spark, d, "reach").where("id % 3 = 0").select("id", (F.col("id") % 4).cast("string").alias("name"))
+    return attributes.own_reaches(claims, sizes, rivers=rivers, stem=stem).select("rid", "id")
+
+
 @query(with_views("line_up", more="r as (select rid, up, row_number() over (partition by rid order by up desc) as rn from line_up), a as (select rid, max(up)*(1+rid%4) as at_up from line_up group by rid)") + "select a.rid as name, coalesce(r.up >= a.at_up/3, false) as yes from a left join r on r.rid = a.rid and r.rn = 3")
 def a13_takes_over_quorum(spark, d):
     lines = view(spark, d, "line_up").withColumnRenamed("rid", "name")

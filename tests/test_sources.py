@@ -86,3 +86,24 @@ def test_sections(spark):
     for r in sections.sections(reach, rivers, mine, sizes, owner, stem).orderBy("rid", "place").collect():
         found.setdefault(r["rid"], []).append(r["id"])
     assert found == {1: [1, 2, 3, 4], 2: [9, 10]}
+
+
+def test_stem_stretches(spark):
+    """A stem 1 < 2 < 3 < 4 of two names; the river that claims all of it keeps the stretch of its own name."""
+    reach = spark.createDataFrame([(1, 0, 100.0, 1.0), (2, 1, 90.0, 1.0), (3, 2, 80.0, 1.0), (4, 3, 70.0, 1.0)], "id long, down long, up double, len double")
+    rivers = spark.createDataFrame([(1, "lower"), (2, "upper")], "rid long, name string")
+    mine = spark.createDataFrame([(r, i, u) for r in (1, 2) for i, u in ((1, 100.0), (2, 90.0), (3, 80.0), (4, 70.0))], "rid long, id long, up double")
+    sizes = spark.createDataFrame([(1, 95.0), (2, 75.0)], "rid long, size_up double")
+    stem = spark.createDataFrame([(1, "lower"), (2, "lower"), (3, "upper"), (4, "upper")], "id long, name string")
+    found = {}
+    for r in sections.two_passes(reach, rivers, mine, sizes, stem).orderBy("rid", "place").collect():
+        found.setdefault(r["rid"], []).append(r["id"])
+    assert found[2][-1] == 4 and found[1][0] == 1
+    own = {}
+    from spindrift.operators import attributes
+
+    for r in attributes.own_reaches(mine, sizes, rivers=rivers, stem=stem).collect():
+        own.setdefault(r["rid"], set()).add(r["id"])
+    assert own == {1: {1, 2}, 2: {3, 4}}
+    lost = attributes.own_reaches(mine.where("rid = 1 and id > 2"), sizes, rivers=rivers, stem=stem)
+    assert {r["id"] for r in lost.collect()} == {3, 4}

@@ -135,3 +135,60 @@ def test_decay_by_elapsed_time(spark):
     got = {r["user_id"]: r["velocity"] for r in interaction.decay(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, impulse double")).collect()}
     assert math.isclose(got[1], 0.1 * 0.9 ** (100 / 16.667) + 0.1)
     assert got[2] == -0.05 and got[3] == 0.25 and got[4] == 0.01
+
+
+def test_douglas_peucker_by_recursion(spark):
+    """The vertices that stay are those of the plain recursive rule."""
+    from spindrift.operators import sequences
+    from spindrift.sources.fixtures import view
+
+    lines = sequences.polylines(view(spark, "/root/testdata/sf0.001", "path_vertex"))
+
+    def keep(p, tolerance):
+        if len(p) <= 2:
+            return p
+        (ax, ay), (bx, by) = p[0], p[-1]
+        dx, dy = bx - ax, by - ay
+        ll = dx * dx + dy * dy
+
+        def off(q):
+            t = min(1, max(0, ((q[0] - ax) * dx + (q[1] - ay) * dy) / ll)) if ll > 0 else 0
+            return (ax + t * dx - q[0]) ** 2 + (ay + t * dy - q[1]) ** 2
+
+        k = max(range(1, len(p) - 1), key=lambda i: (off(p[i]), -i))
+        return keep(p[: k + 1], tolerance)[:-1] + keep(p[k:], tolerance) if off(p[k]) > tolerance**2 else [p[0], p[-1]]
+
+    want = {}
+    for r in lines.collect():
+        c = math.cos(r["c"][0]["y"] * math.pi / 180)
+        want[r["path_id"]] = [(round(x / c, 9), y) for x, y in keep([(v["x"] * c, v["y"]) for v in r["c"]], 0.2)]
+    got = {r["path_id"]: [(round(v["x"], 9), v["y"]) for v in r["c"]] for r in sequences.simplify(lines, 0.2).collect()}
+    assert got == want
+
+
+def test_every_edge_is_walked_once(spark):
+    """Lines hold every undirected edge once, rings every directed one; components do not mix."""
+    from itertools import pairwise
+
+    from spindrift.plans.spatial import g11_border_lines, g12_rings
+    from spindrift.sources.fixtures import view
+
+    d = "/root/testdata/sf0.001"
+    lines, edges = {}, set()
+    for r in g11_border_lines(spark, d).orderBy("component", "line", "place").collect():
+        lines.setdefault((r["component"], r["line"]), []).append((r["x"], r["y"]))
+    walked = [tuple(sorted(e)) for line in lines.values() for e in pairwise(line)]
+    for r in view(spark, d, "way").collect():
+        edges.add(tuple(sorted(((float(r["start_node"]), 0.0), (float(r["end_node"]), 0.0)))))
+    assert len(walked) == len(set(walked)) and set(walked) == edges
+    rings = {}
+    for r in g12_rings(spark, d).orderBy("component", "ring", "place").collect():
+        rings.setdefault((r["component"], r["ring"]), []).append((r["x"], r["y"]))
+    closed = [e for ring in rings.values() for e in pairwise([*ring, ring[0]])]
+    assert len(closed) == len(set(closed)) and not {(b, a) for a, b in closed} & set(closed)
+
+
+def test_svg_of_a_square(spark):
+    on = spark.createDataFrame([(2, 3)], "cx long, cy long")
+    rings = topology.trace_rings(topology.by_component(raster.boundary_edges(raster.outline_polygons(on))))
+    assert topology.svg_path(rings).first()["d"] == "M2 3L3 3L3 4L2 4Z"

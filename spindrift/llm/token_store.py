@@ -2,8 +2,9 @@
 
 Ids are cut into chunks where a rolling hash of the last eight ids says so, so equal passages give equal chunks. A chunk
 is stored once under its 128-bit BLAKE2 address; a document is a recipe of addresses with a Merkle root, and each segment
-of recipes (ascending doc_id) has a manifest row with a Merkle root over its documents. Reading checks every address and
-every root. Chunk bodies move once, from the encoding task to the task that owns their address.
+of recipes (ascending doc_id) has a manifest row with a Merkle root over its documents. Reading checks every address, every
+document's root against its chunks and every segment's root against its documents; a chunk that is not there is an error.
+Chunk bodies move once, from the encoding task to the task that owns their address.
 
 Null or empty text is a document of the end id alone. Rows with equal doc_id are separate documents. Extra columns are
 ignored. An empty table gives an empty store.
@@ -261,6 +262,23 @@ def _raw_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("part int, doc_id long, n long, a binary, b binary, kind string").parquet(f"{path}/raw")
 
 
+def _check_segment(table: pa.Table) -> pa.Table:
+    """A segment's manifest row as its recipes have it."""
+    t = table.sort_by("row")
+    if t.column("row").to_pylist() != list(range(len(t))):
+        raise ValueError("a segment does not have all its documents")
+    return pa.table({"segment": t.column("segment")[:1].cast(pa.int32()), "found_docs": pa.array([len(t)], pa.int64()), "found_tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "found": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
+
+
+def _segment_starts(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
+    """segment, before: ids of all segments before; fails where the manifest and the recipes do not agree."""
+    found = recipes.select("segment", "row", "n_tokens", "root").groupBy("segment").applyInArrow(_check_segment, "segment int, found_docs long, found_tokens long, found binary")
+    both = spark.read.parquet(f"{path}/manifest").join(found, "segment", "full")
+    agrees = (F.col("root") == F.col("found")) & (F.col("n_docs") == F.col("found_docs")) & (F.col("n_tokens") == F.col("found_tokens"))
+    before = F.sum("n_tokens").over(W.orderBy("segment")) - F.col("n_tokens")
+    return both.select("segment", F.when(agrees, before).otherwise(F.raise_error(F.lit("a segment does not match its manifest")).cast("long")).alias("before"))
+
+
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crcs = []
@@ -290,6 +308,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crcs, counts = [], []
         for root, n, parts in zip(batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             parts = sorted(parts, key=lambda p: p["place"])
+            if any(p["n"] is None for p in parts):
+                raise ValueError("a chunk of a document is missing")
             if sum(p["n"] for p in parts) != n or merkle([p["address"] for p in parts]) != root:
                 raise ValueError("a document does not match its Merkle root")
             crcs.append(crc32_join([(p["crc"], 4 * p["n"]) for p in parts]))
@@ -302,30 +322,41 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = _raw_table(spark, path).where("kind = 'chunk'").select("a", "n", "b").mapInArrow(_check_chunks, "address binary, n long, crc long")
     uses = recipes.select("segment", "row", "addresses").mapInArrow(_uses, "segment int, row long, place int, address binary")
-    parts = uses.join(chunks, "address").groupBy("segment", "row").agg(F.collect_list(F.struct("place", "n", "crc", "address")).alias("parts"))
-    starts = spark.read.parquet(f"{path}/manifest").select("segment", (F.sum("n_tokens").over(W.orderBy("segment")) - F.col("n_tokens")).alias("before"))
+    parts = uses.join(chunks, "address", "left").groupBy("segment", "row").agg(F.collect_list(F.struct("place", "n", "crc", "address")).alias("parts"))
+    starts = _segment_starts(spark, path, recipes)
     rebuilt = recipes.select("segment", "row", "n_tokens", "root").join(parts, ["segment", "row"]).mapInArrow(_rebuild, "segment int, row long, ids_crc32 long, n_chunks long")
+    # A document without an end id and without text has no chunk.
+    whole = lambda c: F.when(F.col("n_tokens") == 0, 0).otherwise(F.coalesce(c, F.raise_error(F.lit("a document's chunks are missing")).cast("long"))).alias(c)
     return (
-        recipes.join(rebuilt, ["segment", "row"])
+        recipes.join(rebuilt, ["segment", "row"], "left")
         .join(starts, "segment")
-        .select("doc_id", (F.col("before") + F.col("start_in_segment")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", F.lower(F.hex("root")).alias("merkle_root"))
+        .select("doc_id", (F.col("before") + F.col("start_in_segment")).alias("start"), "n_tokens", whole("ids_crc32"), whole("n_chunks"), F.lower(F.hex("root")).alias("merkle_root"))
     )
 
 
+def _body(part: dict) -> np.ndarray:
+    if part["n"] is None:
+        raise ValueError("a chunk of a document is missing")
+    ids = join_planes(part["body"], part["n"])
+    if address(ids) != part["address"]:
+        raise ValueError(f"chunk {part['address'].hex()} does not match its address")
+    return ids
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [np.concatenate([join_planes(p["body"], p["n"]) for p in sorted(parts, key=lambda p: p["place"])]) for parts in batch.column("parts").to_pylist()]
+        ids = [np.concatenate([_body(p) for p in sorted(parts, key=lambda p: p["place"])]) for parts in batch.column("parts").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
-    """Whole documents: doc_id, ids. `doc_ids` (a column doc_id) chooses some."""
+    """Whole documents: doc_id, ids, one row for each row that was written. `doc_ids` (a column doc_id) chooses some."""
     recipes = spark.read.parquet(f"{path}/recipes")
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = _raw_table(spark, path).where("kind = 'chunk'").select(F.col("a").alias("address"), "n", F.col("b").alias("body"))
     uses = recipes.select("segment", "row", "addresses").mapInArrow(_uses, "segment int, row long, place int, address binary")
-    parts = uses.join(chunks, "address").groupBy("segment", "row").agg(F.collect_list(F.struct("place", "n", "body")).alias("parts"))
+    parts = uses.join(chunks, "address", "left").groupBy("segment", "row").agg(F.collect_list(F.struct("place", "n", "body", "address")).alias("parts"))
     return recipes.select("segment", "row", "doc_id").join(parts, ["segment", "row"]).select("doc_id", "parts").mapInArrow(_bodies, "doc_id long, ids array<long>")
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at, unless a single document is longer.
 STEP_BYTES = 1 << 20
@@ -35,6 +36,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeats_ids(docs: DataFrame) -> bool:
+    """Whether two rows have the same doc_id, or a row has none."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.count("*").alias("n"))
+    return bool(ids.where("n > 1 or d is null").limit(1).count())
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,8 +12,8 @@ A document's set holds the hashes of its distinct five-word shingles. Two sets l
 3. Links (a spanning forest of each block) give components.
 
 Equal sets are one class from the start. A block of many shingles is dealt in chunks, each pair of chunks in a task of its
-own. Null text, and text without words, has size 0 and links with nothing, not even its like. Rows with equal doc_id and
-text are one document. Words are split at U+0020 and U+0009 to U+000D; A-Z are lower-cased.
+own. Null text, and text without words, has size 0 and links with nothing, not even its like. To `link_documents`, rows with
+equal doc_id are one document, which has the links of all their texts; to `keep_one_of_each` they are documents of their own. Words are split at U+0020 and U+0009 to U+000D; A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_space, hash_pieces, materialise, mix64, partitions, parts_of, ragged_take, release, steps, tidy, utf8_view, words_of
-from .components import components
+from ..operators.components import components
+from .common import ascii_space, hash_pieces, materialise, mix64, partitions, parts_of, ragged_take, release, repeats_ids, steps, tidy, utf8_view, words_of
 
 SHINGLE = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -386,7 +386,21 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return linked.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+_ROW = "__spindrift_row"
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the least doc_id of their component."""
-    kept = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The documents, with all their columns, that have the least doc_id of their component; one row of each component.
+
+    Where doc_ids repeat or are null, every row is a document of its own: the table is written once with a number for each
+    row, and of rows of the least doc_id the first stays (rows without doc_id come first). Documents without words all stay.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    if not repeats_ids(docs):
+        kept = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    links = link_documents(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    order = rows.select(F.col(_ROW).alias("doc_id"), F.struct(doc_id.isNotNull(), doc_id, _ROW).alias("place"))
+    first = links.join(order, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", "place").alias(_ROW))
+    return rows.join(first.select(_ROW), _ROW, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8_view
+from .common import materialise, parts_of, utf8_view
 from .tokens import encoder, ids_crc32
 
 CAPACITY = 4096
@@ -180,7 +180,7 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN, most: i
 def _pieces(path: str, end_id: int | None, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             if not len(batch):
                 continue
             data, offsets = utf8_view(batch.column(1))

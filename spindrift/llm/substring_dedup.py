@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, materialise, mix64, partitions, parts_of, ragged_take, release, tidy, utf8_view
+from .common import STEP_BYTES, materialise, mix64, partitions, parts_of, ragged_take, release, repeats_ids, tidy, utf8_view
 
 LENGTH, KMER = 100, 32
 #: Slices of an anchor above which it is dealt by window content, and bytes of slices in a bucket, about.
@@ -484,8 +484,7 @@ def _marks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with their place in the order of documents, _DOC and _ROW, which is theirs alone."""
     doc_id = F.col("doc_id").cast("long")
-    repeated = docs.groupBy(doc_id.alias("d")).agg(F.count("*").alias("n")).where("n > 1 or d is null").limit(1).count()
-    if not repeated:
+    if not repeats_ids(docs):
         return docs.withColumn(_DOC, doc_id).withColumn(_ROW, F.lit(0).cast("long"))
     number = F.monotonically_increasing_id() + F.when(doc_id.isNull(), 0).otherwise(2**62)
     return materialise(docs.withColumn(_DOC, F.coalesce(doc_id, F.lit(-(2**63)))).withColumn(_ROW, number), "rows")

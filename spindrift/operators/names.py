@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEG
 from ..functions.text import alternatives, same_name
 
 _AROUND = (-1, 0, 1)
@@ -59,8 +58,3 @@ def uncovered(vertices: DataFrame, covered: DataFrame) -> DataFrame:
     seg = segments(vertices).select("path_id", "seq", F.floor(km("x1", "y1", "x2", "y2", "end") * 1000 + 0.5).cast("long").alias("m"))
     inside = spans.join(seg, "path_id").where((F.col("seq") >= F.col("first")) & (F.col("seq") < F.col("last")))
     return inside.groupBy("path_id", "first", "last", "n").agg(F.sum("m").alias("metres")).where("metres >= 1000")
-
-
-def cell_of(x: str, y: str, size_km: float = 3.0) -> tuple[Column, Column]:
-    size = size_km / KM_PER_DEG
-    return F.floor(F.col(x) / size).cast("long"), F.floor(F.col(y) / size).cast("long")

@@ -5,11 +5,15 @@ the text after it always has the same ids, whatever stands around it. They also
 it, so `word` and `word,` share what is remembered. A document with white space beyond ASCII or with the controls U+001C
 to U+001F is encoded as one piece instead. Pieces are told apart by their length, their first and last eight bytes (that
 is all of a piece of up to 16 bytes) and, for longer ones, a 64-bit hash; two pieces that differ in these never share ids.
+Words of letters alone go to the merges of a byte-level tokenizer directly, as its pattern would leave them whole.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -76,6 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytewise = _is_bytewise(json.loads(self.tokenizer.to_str()))
         self._forget()
 
     def _forget(self) -> None:
@@ -170,7 +175,26 @@ class Encoder:
         return at[inverse]
 
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
+        """Ids of pieces, one after another, and how many each has."""
+        lone = [k for k, p in enumerate(pieces) if _WORD.fullmatch(p)] if self.bytewise else []
+        if not lone:
+            return self._encode_all(pieces)
+        merge = self.tokenizer.model.tokenize
+        words = [[t.id for t in merge(pieces[k].encode().decode("latin-1").translate(_BYTE_CHARS))] for k in lone]
+        rest = np.ones(len(pieces), bool)
+        rest[lone] = False
+        flat, n = self._encode_all([pieces[k] for k in np.flatnonzero(rest).tolist()])
+        counts = np.zeros(len(pieces), np.int64)
+        counts[lone] = [len(w) for w in words]
+        counts[rest] = n
+        out = np.zeros(int(counts.sum()), np.uint32)
+        of_word = np.repeat(~rest, counts)
+        out[of_word] = np.fromiter(itertools.chain.from_iterable(words), np.uint32)
+        out[~of_word] = flat
+        return out, counts
+
+    def _encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), 8192):
             part = pieces[i : i + 8192]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -179,6 +203,29 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(counts)
 
 
+#: A space or none, then letters: one word to a byte-level tokenizer, whose pattern need not be run for it.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level tokenizers write bytes as: printable ones as themselves, others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _is_bytewise(made: dict) -> bool:
+    """Whether a tokenizer splits texts by the byte-level pattern and merges bytes, and does nothing else to words."""
+    split, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    words = all(len(t["content"]) > 0 and not _WORD.fullmatch(t["content"].strip()) for t in made.get("added_tokens") or [])
+    return bool(plain and merges and words and made.get("normalizer") is None)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

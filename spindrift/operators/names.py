@@ -6,16 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alternatives, same_name
+from .graph import cut
 
 _AROUND = (-1, 0, 1)
 
 
-def near_same_names(a: DataFrame, b: DataFrame) -> DataFrame:
-    """aid, bid of named points (id, name, gx, gy) with a like name in the 3 x 3 block around their cell."""
-    keys = lambda t, p: t.select(F.col("id").alias(f"{p}id"), F.explode(alternatives("name")).alias(f"{p}key"), "gx", "gy")
+#: Members of a class that travel together.
+_DEALT = 256
+
+
+def _classes(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Named points by equal names in one cell: classes (c, keys, gx, gy), and their members (c, ids) in parts."""
+    keyed = points.select("id", alternatives("name").alias("keys"), "gx", "gy").where(F.size("keys") > 0)
+    sizes = keyed.groupBy("keys", "gx", "gy").agg(F.count("*").alias("n"))
+    classes = cut(sizes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / _DEALT))
+    members = keyed.join(classes.hint("merge"), ["keys", "gx", "gy"]).groupBy("c", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    return classes.select("c", "keys", "gx", "gy"), cut(members.select("c", "ids"), "members")
+
+
+def _like_classes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """ac, bc of classes with a like name in the 3 x 3 block around their cell."""
+    keys = lambda t, p: t.select(F.col("c").alias(f"{p}c"), F.explode("keys").alias(f"{p}key"), "gx", "gy")
     block = F.array(*[F.lit(i) for i in _AROUND])
-    spread = keys(b, "b").withColumn("dx", F.explode(block)).withColumn("dy", F.explode(block)).select("bid", "bkey", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
-    return keys(a, "a").join(spread, ["gx", "gy"]).where(same_name("akey", "bkey")).select("aid", "bid").distinct()
+    spread = keys(b, "b").withColumn("dx", F.explode(block)).withColumn("dy", F.explode(block)).select("bc", "bkey", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
+    return keys(a, "a").join(spread.hint("merge"), ["gx", "gy"]).where(same_name("akey", "bkey")).select("ac", "bc").distinct()
+
+
+def near_same_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """aid, bid of named points (id, name, gx, gy) with a like name in the 3 x 3 block around their cell.
+
+    Names are compared once for all points of equal names in a cell; the pairs of points are unfolded last, where nothing
+    sorts or shuffles them, unless ids repeat.
+    """
+    (ca, ma), (cb, mb) = (of_a := _classes(a)), of_a if b is a else _classes(b)
+    links = cut(_like_classes(ca, cb), "links")
+    left = links.join(ma.select(F.col("c").alias("ac"), F.col("ids").alias("aids")).hint("merge"), "ac")
+    both = left.join(mb.select(F.col("c").alias("bc"), F.col("ids").alias("bids")).hint("merge"), "bc")
+    pairs = both.select("aids", F.explode("bids").alias("bid")).select(F.explode("aids").alias("aid"), "bid")
+    repeats = any(t.groupBy("id").count().where("count > 1").limit(1).count() for t in ([a] if b is a else [a, b]))
+    return pairs.distinct() if repeats else pairs
 
 
 def first_spelling(names: DataFrame, key: Column) -> DataFrame:

@@ -14,7 +14,8 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts earlier (sm
    decides which occurrences repeat an earlier one.
 3. Marks return to the documents by their keys; their union is removed.
 
-An anchor with many slices is dealt by window content into several buckets, so that no bucket grows without bound.
+An anchor with many slices is dealt by further anchors of its windows (least strings by other hashes) into several buckets:
+windows of the same further anchors stay one slice, and the more slices an anchor has, the more further anchors count.
 Matches never cross documents, nor terminators. Null or empty text has no bytes and no marks. Every row is a document:
 rows of equal doc_id stand in the order of the table, so the first of two equal rows keeps its bytes and the second loses
 them; rows without doc_id stand before all others. Where doc_ids repeat or are null, the table is written once with a
@@ -248,7 +249,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = new_anchor | np.r_[True, digest[1:] != digest[:-1]]
     group = np.cumsum(new_anchor) - 1
     different = np.bincount(group, weights=first).astype(np.int64)[group]
-    # A dealt anchor's windows go out one by one, LENGTH bytes and a terminator each: its parts follow their bytes.
+    # The parts that a dealt anchor would need if its windows went out one by one, LENGTH bytes and a terminator each.
     windows = np.bincount(group, weights=first * n).astype(np.int64)[group]
     parts = np.where(different > HOT_SLICES, np.maximum(2, -(-windows * (LENGTH + 1) // (4 * BUCKET_BYTES))), 1)
     deal = np.where(first, np.where(different > 1, parts, -1), 0)
@@ -262,6 +263,33 @@ def _chunked(columns: list[np.ndarray], names: list[str], rows: int = 100_000) -
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + rows]) for c in columns], names=names)
 
 
+def _dealt(text: np.ndarray, n: np.ndarray, deal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Slices of n windows each, in `text` one after another, parted where a further anchor of their windows changes.
+
+    Gives (slice, first window, windows, salt) of the parts. A further anchor is the least of a window's KMER-byte strings by
+    another hash, so equal windows of equal `deal` have equal salts; an anchor has the more of them the more it is dealt.
+    """
+    h, k = _BYTE[text], 1
+    while k < KMER:
+        h = _join(h, k)
+        k *= 2
+    levels = 1 + np.maximum(0, np.log2(deal / 8) // 2).astype(np.int64)
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    size = n + LENGTH - 1
+    place = (np.cumsum(size) - size)[which] + step
+    salt = np.zeros(len(which), np.uint64)
+    for level in range(1, int(levels.max()) + 1):
+        least, span = mix64(h + np.uint64(level)), 1
+        while span * 2 <= _WINDOWS:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[: len(least) - (_WINDOWS - span)], least[_WINDOWS - span :])
+        salt = np.where(levels[which] >= level, mix64(salt * _M2 + least[place]), salt)
+    first = np.flatnonzero((step == 0) | np.r_[True, salt[1:] != salt[:-1]])
+    return which[first], step[first], np.diff(np.r_[first, len(which)]), salt[first]
+
+
 def _cut(buckets: int):
     """Bytes of the asked slices, packed by bucket of the index."""
 
@@ -279,20 +307,13 @@ def _cut(buckets: int):
             n, at = n.astype(np.int64), offsets[row] + start
             hot = deal > 1
             if hot.any():
-                # One window is one slice here, dealt by its own bytes.
-                rest = np.flatnonzero(~hot)
-                h = np.flatnonzero(hot)
-                more = np.repeat(h, n[h])
-                step = np.arange(len(more)) - np.repeat(np.cumsum(n[h]) - n[h], n[h])
-                at_more = at[more] + step
-                salt = np.zeros(len(more), np.uint64)
-                for k in range(LENGTH):
-                    salt *= _M2
-                    salt += data[at_more + k]
-                salt = mix64(salt) % deal[more].astype(np.uint64)
+                # Windows of the same further anchors are one slice here, dealt by these.
+                rest, h = np.flatnonzero(~hot), np.flatnonzero(hot)
+                piece, step, count, salt = _dealt(ragged_take(data, at[h], n[h] + LENGTH - 1), n[h], deal[h])
+                more = h[piece]
                 key = np.concatenate([mix64(anchor[rest].view(np.uint64)), mix64(mix64(anchor[more].view(np.uint64)) + salt + np.uint64(1))])
                 doc, number = np.r_[doc[rest], doc[more]], np.r_[number[rest], number[more]]
-                start, at, n = np.r_[start[rest], start[more] + step], np.r_[at[rest], at_more], np.r_[n[rest], np.ones(len(more), np.int64)]
+                start, at, n = np.r_[start[rest], start[more] + step], np.r_[at[rest], at[more] + step], np.r_[n[rest], count]
             else:
                 key = mix64(anchor.view(np.uint64))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -499,7 +520,7 @@ def _repeated_windows(keyed: DataFrame) -> DataFrame:
     packed = texts.mapInArrow(_digests(parts), "part int, sure boolean, body binary").repartition(parts, "part").select("sure", "body")
     found = materialise(packed.mapInArrow(_resolve, f"{key}, start long, n long, anchor long, deal int"), "slices")
     asked = found.where("deal > 0").groupBy(_DOC, _ROW).agg(F.collect_list(F.struct("start", "n", "anchor", "deal")).alias("asked"))
-    size = found.where("deal > 0").agg(F.sum((F.col("n") + LENGTH) * F.when(F.col("deal") > 1, 30).otherwise(1))).first()[0] or 0
+    size = found.where("deal > 0").agg(F.sum((F.col("n") + LENGTH) * F.when(F.col("deal") > 1, 4).otherwise(1))).first()[0] or 0
     buckets = max(parts, -(-size // BUCKET_BYTES))
     cut = texts.join(asked.hint("merge"), [_DOC, _ROW]).select(_DOC, _ROW, "text", "asked").mapInArrow(_cut(buckets), "bucket int, body binary")
     marks = cut.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_index, f"{key}, start long, n long")

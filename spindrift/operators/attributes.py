@@ -17,8 +17,9 @@ def upper_median(lines: DataFrame, key: str = "rid", value: str = "up") -> DataF
 def weighted_median(lines: DataFrame) -> DataFrame:
     """The first sorted value at which the running length reaches half of the whole."""
     w = W.partitionBy("rid")
-    run = F.sum("km").over(w.orderBy("up", "line_id", "k").rowsBetween(W.unboundedPreceding, 0))
-    c = lines.withColumn("_run", run).withColumn("_all", F.sum("km").over(w))
+    # Lines of equal value share the running length that the last of them has.
+    run = F.sum("km").over(w.orderBy("up").rangeBetween(W.unboundedPreceding, 0))
+    c = lines.select("rid", "up", "km").withColumn("_run", run).withColumn("_all", F.sum("km").over(w))
     return c.where(F.col("_run") * 2 >= F.col("_all")).groupBy("rid").agg(F.min("up").alias("median_up"))
 
 

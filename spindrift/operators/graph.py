@@ -33,6 +33,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that `cut` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def main_predecessor(reach: DataFrame) -> DataFrame:
     """For each reach that has any, its largest upstream neighbour (the first on ties): down, main_id."""
     known = reach.select(F.col("id").alias("down"))
@@ -56,11 +65,14 @@ def chain_links(reach: DataFrame) -> DataFrame:
 def chain_members(reach: DataFrame) -> DataFrame:
     """id, chain (its mouth), hops and km to the chain's mouth, own length included, by pointer doubling."""
     state = cut(chain_links(reach).select("id", "nxt", F.col("id").alias("last"), F.lit(0).cast("long").alias("hops"), F.col("len").alias("km")), "chain")
-    while state.where("nxt is not null").limit(1).count():
+    # A round doubles what a pointer spans.
+    for _ in rounds(state.count().bit_length()):
+        if not state.where("nxt is not null").limit(1).count():
+            break
         ahead = state.select(F.col("id").alias("nxt"), F.col("nxt").alias("n2"), F.col("last").alias("l2"), F.col("hops").alias("h2"), F.col("km").alias("k2"))
         # `hops` and `km` reach up to, not into, `nxt`; at a mouth they are final.
         joined = state.join(ahead, "nxt", "left")
-        state = cut(
+        after = cut(
             joined.select(
                 "id",
                 F.col("n2").alias("nxt"),
@@ -70,6 +82,8 @@ def chain_members(reach: DataFrame) -> DataFrame:
             ),
             "chain",
         )
+        drop(state)
+        state = after
     return state.select("id", F.col("last").alias("chain"), "hops", "km")
 
 

@@ -86,9 +86,11 @@ def serve_river_course(spark, d):
 def g6_sections(spark, d):
     r = view(spark, d, "reach").select("id", "down", "up", "len")
     mine = view(spark, d, "claim").join(r.select("id", "up"), "id").select("rid", "id", "up")
-    sizes = attributes.weighted_median(view(spark, d, "line_up")).select("rid", F.col("median_up").alias("size_up"))
-    rivers = mine.select("rid").distinct().withColumn("name", F.concat(F.lit("river "), F.col("rid")))
+    sizes = graph.cut(attributes.weighted_median(view(spark, d, "line_up")).select("rid", F.col("median_up").alias("size_up")), "sizes")
+    rivers = sizes.select("rid", F.concat(F.lit("river "), F.col("rid")).alias("name"))
     lon = view(spark, d, "reach").select("id", (F.col("x1") + 9).alias("lon"))
-    stem = graph.main_stem(r, graph.chain_members(r), geo.MAIN_STEM_MIN_UP / 100).join(lon, "id").select("id", geo.stem_name("lon").alias("name"))
-    found = sections.two_passes(r, rivers, mine, sizes, stem)
+    members = graph.chain_members(r)
+    stem = graph.main_stem(r, members, geo.MAIN_STEM_MIN_UP / 100).join(lon, "id").select("id", geo.stem_name("lon").alias("name"))
+    stem = graph.cut(stem, "stem")
+    found = sections.two_passes(r, rivers, mine, sizes, stem, members)
     return sections.section_lengths(found, r)
